@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import with_fields
+
 
 #: Distinct pre-tokens that a worker remembers; beyond it the memory is emptied, results are the same.
 MEMO_ENTRIES = 400_000
@@ -193,8 +195,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
             ids = pa.array([codec.encode(t) for t in _strings(batch.column(at))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, ids_col])
 
-    schema = df.schema.add(ids_col, T.ArrayType(T.IntegerType()))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, with_fields(df, (ids_col, T.ArrayType(T.IntegerType()))))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -209,7 +210,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", b
             out = [None if ids is None else codec.decode(ids) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, bytes_col])
 
-    return df.mapInArrow(run, df.schema.add(bytes_col, "binary"))
+    return df.mapInArrow(run, with_fields(df, (bytes_col, T.BinaryType())))
 
 
 def encode_digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,7 +220,7 @@ def encode_digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     repeated rows; an empty table gives an empty one; further columns of df are not read.
     """
     shared = _shared(df, ranks_path)
-    schema = df.select(id_col).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = with_fields(df.select(id_col), ("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)

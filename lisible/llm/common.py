@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space and words of the text contracts: only these six ASCII characters separate words.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -44,6 +45,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def with_fields(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
+    """The schema of df and further columns after it."""
+    return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in more)])
+
+
 def free_column(df: DataFrame, base: str) -> str:
     """A column name that df does not have yet, case ignored."""
     taken, name = {c.lower() for c in df.columns}, base

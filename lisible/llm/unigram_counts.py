@@ -19,8 +19,10 @@ from itertools import islice
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .byte_bpe import LONG_TEXT, PART, _shared, _strings, read_ranks
+from .common import with_fields
 
 #: Nodes of a worker's trie, and pre-tokens it looks up directly; beyond either both are emptied, results are the same.
 TRIE_NODES, TERMINALS = 600_000, 400_000
@@ -125,7 +127,7 @@ def token_counts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     an empty one; further columns of df are not read. Whole texts count, however long.
     """
     shared = _shared(df, ranks_path)
-    schema = df.select(id_col).schema.add("n_pieces", "long").add("n_tokens", "long")
+    schema = with_fields(df.select(id_col), ("n_pieces", T.LongType()), ("n_tokens", T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _trie(shared.value, pattern)
