@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, simhash, unigram_counts
+from . import byte_bpe, exact_dedup, simhash, unigram_counts
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -19,9 +19,27 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = """
+WITH hashed AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256
+  FROM documents
+)
+SELECT doc_id,
+       min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
+       count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept,
+       text_sha256
+FROM hashed
+"""
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op5_simhash, op8_token_counts)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op5_simhash, op6_exact_dedup, op8_token_counts)}
+SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
