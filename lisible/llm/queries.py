@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, simhash, unigram_counts
+from . import byte_bpe, exact_dedup, html_text, simhash, unigram_counts
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -41,5 +45,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op5_simhash, op6_exact_dedup, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_byte_bpe, op5_simhash, op6_exact_dedup, op8_token_counts)}
 SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
