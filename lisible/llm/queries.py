@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, html_text, simhash, toxicity, unigram_counts
+from . import byte_bpe, exact_dedup, html_text, simhash, substring_dedup, toxicity, unigram_counts
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -41,6 +41,10 @@ FROM hashed
 """
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -49,5 +53,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_byte_bpe, op5_simhash, op6_exact_dedup, op8_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_byte_bpe, op5_simhash, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op10_toxicity)}
 SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
