@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, html_text, pfair_mix, simhash, substring_dedup, topk_search, toxicity, unigram_counts
+from . import byte_bpe, exact_dedup, html_text, pfair_mix, pii, simhash, substring_dedup, topk_search, toxicity, unigram_counts
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -120,9 +120,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_byte_bpe, op3_topk, op4_pfair_mix, op5_simhash, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_byte_bpe, op3_topk, op4_pfair_mix, op5_simhash, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_pii, op10_toxicity)}
 SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_pfair_mix": OP4_SQL, "op6_exact_dedup": OP6_SQL}
