@@ -33,9 +33,9 @@ from .common import drop_path, materialise, scratch_path
 
 WINDOW, GRAM = 13, 6
 #: Words of a text that are hashed at a time; windows that a task combines before it hands rows on; runs before compaction.
-PART_WORDS, COMBINE, MAX_RUNS = 1 << 17, 1 << 20, 2
-#: Rows of one bucket of a run, about.
-BUCKET_ROWS = 4_000_000
+PART_WORDS, COMBINE, MAX_RUNS = 1 << 17, 1 << 18, 2
+#: Rows of one bucket of a run, about, and buckets at most; rows of an Arrow batch that are unpacked at a time.
+BUCKET_ROWS, BUCKETS_MAX, SLICE = 500_000, 20_000, 500
 LAST = (1 << 63) - 1
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -107,6 +107,12 @@ def row_key(data: bytes) -> int:
     return int.from_bytes(hashlib.sha256(b" ".join(data.split())).digest()[:8], "little", signed=True)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def fingerprints(df: DataFrame) -> DataFrame:
     """Of (id, text): h, n: the fingerprints of a task's documents, n the number of them that have h, up to two."""
 
@@ -117,7 +123,7 @@ def fingerprints(df: DataFrame) -> DataFrame:
             h, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["h", "n"])
 
-        for batch in batches:
+        for batch in _slices(batches):
             for data in batch.column(1).cast(pa.binary()).to_pylist():
                 own = [grams[np.unique(chosen)] for grams, chosen in (part.winnowed() for _, part in _parts(data or b""))]
                 if own:
@@ -198,7 +204,7 @@ def candidate_windows(df: DataFrame, known) -> DataFrame:
             settled = doc > doc[np.maximum.accumulate(np.where(first, np.arange(len(w)), 0))]
             return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(v), pa.array(doc), pa.array(key), pa.array(pos), pa.array(settled)], ["w", "v", "doc", "key", "pos", "settled"])
 
-        for batch in batches:
+        for batch in _slices(batches):
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 key = None
                 for at, part in _parts(data or b""):
@@ -271,7 +277,7 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         docs, keys, counts, digests = [], [], [], []
         for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             words = (data or b"").split()
@@ -301,7 +307,7 @@ def removed_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     limits = docs.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000), F.sum(F.octet_length("text"))).first()
     cuts = sorted(set(limits[0] or []))
     # some two fingerprints for nine words of six bytes
-    index = FingerprintIndex(spark, max(8, int((limits[1] or 0) / 27 / BUCKET_ROWS) + 1))
+    index = FingerprintIndex(spark, min(BUCKETS_MAX, max(8, int((limits[1] or 0) / 27 / BUCKET_ROWS) + 1)))
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = docs
         if low is not None:
@@ -337,7 +343,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     wanted = bloom.build(partly.select("doc"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             doc = np.array([LAST if x is None else x for x in batch.column(0).to_pylist()], np.int64)
             mask = pa.array(wanted(doc.view(np.uint64))) if len(doc) else pa.array([], pa.bool_())
             some = batch.filter(mask)
@@ -345,7 +351,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(doc).filter(mask), pa.array(list(map(row_key, data)), pa.int64()), pa.array(data, pa.binary())], ["id", "doc", "key", "data"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             data, ranges = batch.column(1).to_pylist(), batch.column(3).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x.split()) for x in data], pa.int64()), batch.column(2), pa.array([hashlib.sha256(kept_words(x, r)).hexdigest() for x, r in zip(data, ranges, strict=True)], pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
 
