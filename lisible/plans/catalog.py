@@ -482,3 +482,178 @@ def speech_duration_running(spark, d):
 @query("""WITH b AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT event_id, user_id, event_type FROM b WHERE before IS NULL OR before <> event_type""")
 def event_dedupe_consecutive(spark, d):
     return S.changes(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type").select("event_id", "user_id", "event_type")
+
+
+# ---- words: vocabulary, lexicon, dictionary, syllables, phonemes ----------------------------------------------------
+
+from ..functions import phonemes as P  # noqa: E402
+from ..operators import layout as L  # noqa: E402
+from ..operators import words as W  # noqa: E402
+
+WORD_SQL = r"\p{L}+(?:[''’-]\p{L}+)*"
+KEY_SQL = "translate(strip_accents(replace(replace(lower(trim(word)), 'œ', 'oe'), 'æ', 'ae')), '’‐‑–—', '''----')"
+LEAST_DOCUMENTS = 3
+#: Stand-in for a lexicon, which is always an input: words in at least LEAST_DOCUMENTS French documents.
+LEXICON_SQL = rf"""
+fr AS (SELECT doc_id, unnest(regexp_extract_all(text, '{WORD_SQL}')) AS word FROM documents WHERE lang = 'fr'),
+lexicon AS (SELECT {KEY_SQL} AS lex FROM fr WHERE regexp_matches({KEY_SQL}, '^[a-z''-]+$') GROUP BY 1 HAVING count(DISTINCT doc_id) >= {LEAST_DOCUMENTS})
+"""
+
+
+def _french(spark, d):
+    return docs(spark, d, "doc_id", "text", "lang").where("lang = 'fr'").select("doc_id", "text")
+
+
+def _lexicon(spark, d):
+    words = _french(spark, d).select("doc_id", F.explode(T.every(F.col("text"), W.WORDS)).alias("word")).select("doc_id", T.normalise_word(F.col("word")).alias("word"))
+    return words.where(F.col("word").rlike("^[a-z'-]+$")).groupBy("word").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS).select("word")
+
+
+KNOWN_SQL = """
+forms AS (SELECT word, key, unnest(list_filter([key, CASE WHEN key LIKE '%s' AND length(key) >= 5 THEN left(key, length(key) - 1) END, CASE WHEN key LIKE '%es' AND length(key) >= 6 THEN left(key, length(key) - 2) END], lambda x: x IS NOT NULL)) AS form FROM keyed),
+whole AS (SELECT DISTINCT word FROM forms JOIN lexicon ON form = lex),
+pieces AS (SELECT word, unnest(list_filter(regexp_split_to_array(key, '[''-]'), lambda p: p <> '')) AS part, len(list_filter(regexp_split_to_array(key, '[''-]'), lambda p: p <> '')) AS n FROM keyed WHERE regexp_matches(key, '[''-]')),
+compound AS (SELECT word FROM pieces LEFT JOIN lexicon ON part = lex WHERE n > 1 GROUP BY word HAVING bool_and(length(part) <= 1 OR lex IS NOT NULL)),
+known AS (SELECT word FROM whole UNION SELECT word FROM compound)
+"""
+
+
+@query(rf"""WITH {LEXICON_SQL}, counts AS (SELECT doc_id, word, count(*) AS n FROM fr GROUP BY ALL),
+considered AS (SELECT * FROM counts WHERE length({KEY_SQL}) >= 4 AND NOT (word = upper(word) AND length({KEY_SQL}) <= 5)),
+keyed AS (SELECT DISTINCT word, {KEY_SQL} AS key FROM considered), {KNOWN_SQL},
+sums AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS considered, CAST(sum(CASE WHEN k.word IS NOT NULL THEN n ELSE 0 END) AS BIGINT) AS known_words FROM considered c LEFT JOIN known k ON k.word = c.word GROUP BY doc_id)
+SELECT doc_id, considered, known_words, round(known_words / considered, 6) AS known_ratio,
+  CASE WHEN NOT ((considered >= 4 AND considered - known_words >= 2 AND known_words / considered < 0.72) OR (considered >= 6 AND known_words / considered < 0.5)) THEN 'none' WHEN known_words / considered < 0.5 THEN 'medium' ELSE 'low' END AS review FROM sums""")
+def lexical_quality(spark, d):
+    return W.lexical_quality(_french(spark, d), _lexicon(spark, d)).withColumn("known_ratio", F.round("known_ratio", 6))
+
+
+@query(rf"""WITH {LEXICON_SQL}, keyed AS (SELECT DISTINCT word, {KEY_SQL} AS key FROM fr WHERE length({KEY_SQL}) BETWEEN 8 AND 28 AND NOT regexp_matches({KEY_SQL}, '[''-]')), {KNOWN_SQL},
+cuts AS (SELECT word, key, unnest(range(3, length(key) - 2)) AS i FROM keyed WHERE word NOT IN (SELECT word FROM known)),
+halves AS (SELECT word, left(key, i) AS l, substr(key, i + 1) AS r, i, abs(2 * i - length(key)) AS balance FROM cuts),
+both_known AS (SELECT h.* FROM halves h WHERE l IN (SELECT lex FROM lexicon) AND r IN (SELECT lex FROM lexicon)),
+best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY balance, i) AS n FROM both_known)
+SELECT word, l AS "left", r AS "right" FROM best WHERE n = 1""")
+def merged_word_candidates(spark, d):
+    return W.merged_candidates(W.vocabulary(_french(spark, d)).select("word"), _lexicon(spark, d))
+
+
+@query()
+def word_repair(spark, d):
+    return W.repaired(_french(spark, d), _lexicon(spark, d))
+
+
+SEEDS = [
+    (0, "molécule", "Groupe d'atomes liés.", "science", None, True, False, None, "nominal"),
+    (1, "animal", "Être vivant qui se déplace.", "général", None, True, False, None, "nominal"),
+    (2, "rencontrer", "Se trouver en présence de quelqu'un.", "général", None, False, False, None, "er"),
+    (3, "général", "Qui concerne l'ensemble.", "général", ["généralement"], True, True, "générale", "nominal"),
+    (4, "tableau", "Surface organisée en lignes et colonnes.", "école", None, True, False, None, "nominal"),
+]
+SEED_SCHEMA = "seq int, lemma string, definition string, category string, variants array<string>, auto_plural boolean, auto_feminine boolean, feminine_form string, variant_strategy string"
+#: The keys of the five entries, written out.
+INDEX_KEYS = (
+    "molecule=molécule molecules=molécule animal=animal animaux=animal rencontrer=rencontrer rencontre=rencontrer rencontres=rencontrer rencontrent=rencontrer rencontrons=rencontrer rencontrez=rencontrer rencontrais=rencontrer rencontrait=rencontrer rencontraient=rencontrer rencontree=rencontrer rencontrees=rencontrer rencontrant=rencontrer general=général generaux=général generale=général generales=général generalement=général tableau=tableau tableaux=tableau"
+).split()
+INDEX_VALUES = ", ".join("('{}', '{}')".format(*k.split("=")) for k in INDEX_KEYS)
+
+
+@query(f"SELECT * FROM (VALUES {INDEX_VALUES}) AS t(key, lemma)")
+def dictionary_index(spark, d):
+    return W.dictionary_index(spark.createDataFrame(SEEDS, SEED_SCHEMA)).select("key", "lemma")
+
+
+@query("SELECT * FROM (VALUES ('Molécules', 'molécule'), ('rencontrée', 'rencontrer'), ('animaux', 'animal'), ('inconnu', NULL), ('tableauxs', 'tableau')) AS t(word, lemma)")
+def dictionary_lookup(spark, d):
+    words = spark.createDataFrame([("Molécules",), ("rencontrée",), ("animaux",), ("inconnu",), ("tableauxs",)], "word string")
+    return W.dictionary_lookup(words, W.dictionary_index(spark.createDataFrame(SEEDS, SEED_SCHEMA))).select("word", "lemma")
+
+
+@query()
+def syllables_vocab(spark, d):
+    return W.syllables(W.vocabulary(_french(spark, d)))
+
+
+@query()
+def syllable_histogram(spark, d):
+    return W.syllables(W.vocabulary(_french(spark, d))).groupBy(F.size("syllables").alias("n_syllables")).agg(F.sum("n").alias("n"))
+
+
+@query()
+def html_text_syllabified(spark, d):
+    return W.syllabified_html(table(spark, d, "pages").where("url LIKE '%/fr/%'"), "html")
+
+
+DIMENSION_SQL = ", ".join("('{}', '{}', {}, {})".format(*r) for r in P.ROWS)
+
+
+@query(f"SELECT * FROM (SELECT phoneme, string_agg(grapheme, ' ' ORDER BY frequency DESC, grapheme) AS graphemes FROM (VALUES {DIMENSION_SQL}) AS t(grapheme, phoneme, frequency, at_) GROUP BY phoneme)")
+def phoneme_catalog(spark, d):
+    return P.catalog(spark).where("graphemes <> ''").select("phoneme", "graphemes")
+
+
+@query(f"SELECT grapheme, count(DISTINCT phoneme) AS n_phonemes FROM (VALUES {DIMENSION_SQL}) AS t(grapheme, phoneme, frequency, at_) GROUP BY grapheme HAVING count(DISTINCT phoneme) > 1")
+def inconsistent_graphemes(spark, d):
+    return P.dimension(spark).groupBy("grapheme").agg(F.count_distinct("phoneme").alias("n_phonemes")).where("n_phonemes > 1")
+
+
+@query(f"SELECT grapheme, max(frequency) AS frequency FROM (VALUES {DIMENSION_SQL}) AS t(grapheme, phoneme, frequency, at_) GROUP BY grapheme HAVING max(frequency) >= 5")
+def known_graphemes(spark, d):
+    return P.dimension(spark).groupBy("grapheme").agg(F.max("frequency").alias("frequency")).where("frequency >= 5")
+
+
+FIRST_SQL = ", ".join(f"('{g}', '{p}')" for g, p in P.FIRST.items())
+CLASS_SQL = ", ".join(f"('{p}', '{c}')" for p, c in P.CLASS_OF.items())
+
+
+@query(rf"""WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\p{{L}}+')) AS word FROM documents WHERE lang = 'fr'),
+cut AS (SELECT word, regexp_extract_all(lower(word), '(?s){P.UNITS}') AS l FROM words), u AS (SELECT word, unnest(l) AS unit, generate_subscripts(l, 1) - 1 AS unit_index FROM cut),
+placed AS (SELECT *, lower(word) AS low, CAST(sum(length(unit)) OVER (PARTITION BY word ORDER BY unit_index) - length(unit) AS INTEGER) AS place FROM u),
+near AS (SELECT *, substr(low, place + 2, 1) AS nxt, CASE WHEN place > 0 THEN substr(low, place, 1) ELSE '' END AS prv FROM placed),
+heard AS (SELECT n.word, unit_index, unit, place, CASE unit WHEN 'c' THEN CASE WHEN regexp_matches(nxt, '[eéiîïyèêë]') THEN 's' ELSE 'k' END WHEN 'g' THEN CASE WHEN regexp_matches(nxt, '[eéiîïyèêë]') THEN 'Z' ELSE 'g' END
+  WHEN 's' THEN CASE WHEN regexp_matches(prv, '[aeiouyàâäéèêëîïôöùûüÿœæ]') AND regexp_matches(nxt, '[aeiouyàâäéèêëîïôöùûüÿœæ]') THEN 'z' ELSE 's' END
+  WHEN 'x' THEN CASE WHEN place = length(low) - 1 THEN '#' ELSE 'ks' END ELSE f.p END AS phoneme FROM near n LEFT JOIN (VALUES {FIRST_SQL}) AS f(g, p) ON f.g = n.unit)
+SELECT word, CAST(unit_index AS INTEGER) AS unit_index, unit, place AS "at", phoneme, coalesce(k.c, 'consonant') AS class FROM heard LEFT JOIN (VALUES {CLASS_SQL}) AS k(p, c) ON k.p = phoneme""")
+def phoneme_units(spark, d):
+    return P.units(W.vocabulary(_french(spark, d), pattern=r"\p{L}+").select("word"))
+
+
+# ---- layout from positioned items, OCR, streaming -------------------------------------------------------------------
+
+
+def _items(spark, d):
+    """Words of French documents set on a page, twelve units high and a line of the text a line of the page."""
+    own = own_blocks(spark, d).where("page = 1").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("page").alias("page_number"), "block_index", F.posexplode(F.filter(F.split("text", " "), lambda w: w != "")).alias("i", "str"))
+    return own.select("doc_id", "page_number", (F.col("block_index") * 10_000 + F.col("i")).alias("item_seq"), "str", (F.col("i") * 60.0).alias("x"), (700.0 - F.col("block_index") * 16).alias("y"), F.lit(12.0).alias("font_size"), F.lit(56.0).alias("width"), F.lit(800.0).alias("page_height"))
+
+
+@query(f"WITH {BLOCKS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, page AS page_number, CAST(block_index AS INTEGER) AS line_index, CAST(len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS INTEGER) AS n_items FROM blocks WHERE page = 1")
+def layout_lines(spark, d):
+    return L.lines(_items(spark, d)).select("doc_id", "page_number", "line_index", "n_items")
+
+
+@query()
+def layout_blocks(spark, d):
+    return L.blocks(_items(spark, d))
+
+
+@query()
+def ocr_page_blocks(spark, d):
+    own = own_blocks(spark, d)
+    y = F.col("block_index") * 40.0
+    paragraphs = own.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("page").alias("page_number"), F.col("block_index").alias("block_seq"), F.lit(0).alias("par_seq"), "text", F.lit(10.0).alias("x0"), y.alias("y0"), F.lit(500.0).alias("x1"), (y + 30).alias("y1"), F.lit(80.0).alias("confidence"), F.lit(600).alias("page_width"), F.lit(800).alias("page_height"))
+    return L.ocr_blocks(paragraphs)
+
+
+@query("SELECT user_id, max(event_id) AS last_event, count(*) AS n FROM events GROUP BY user_id")
+def stream_progress_latest(spark, d):
+    """The events table as a file stream, read to its end; the result is the batch's."""
+    import uuid
+
+    name = "progress_" + uuid.uuid4().hex
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    counted = stream.groupBy("user_id").agg(F.max("event_id").alias("last_event"), F.count(F.lit(1)).alias("n"))
+    run = counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
