@@ -6,9 +6,9 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline
-from lisible.llm import byte_bpe, toxicity
+from lisible.llm import byte_bpe, simhash, toxicity
 
-from .test_simhash import plain_components, plain_fingerprint
+from .test_simhash import plain_fingerprint
 
 
 def test_run_equals_brute_force(spark, tmp_path):
@@ -39,7 +39,18 @@ def test_run_equals_brute_force(spark, tmp_path):
     order = lambda i: (i is None, i or 0)
     stay = {min(ids, key=order) for ids in first.values()}
     left = [(i, t) for i, t in left if i in stay]
-    roots = plain_components({i: plain_fingerprint(t or "") for i, t in left if i is not None})
+    fps = {i: plain_fingerprint(t or "") for i, t in left if i is not None}
+    wide = {i: simhash.wide_fingerprint((t or "").encode()) for i, t in left if i is not None}
+    bits = lambda a, b: (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
+    near = {i: [j for j in fps if j != i and ((fps[i] ^ fps[j]).bit_count() <= 3 or bits(wide[i], wide[j]) <= simhash.WIDE_BITS)] for i in fps}
+    roots = {}
+    for i in sorted(fps):
+        todo = [] if i in roots else [i]
+        while todo:
+            j = todo.pop()
+            if j not in roots:
+                roots[j] = i
+                todo += near[j]
     left = [(i, t) for i, t in left if i is None or roots[i] == i]
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     real = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(open(path, "rb").read()), special_tokens={})

@@ -105,3 +105,36 @@ def test_large_lists_equal_pairwise(monkeypatch):
 def test_one_of_each_group_stays(spark):
     df = spark.createDataFrame([(5, "a b c d", "x"), (2, "a b c d", "y"), (9, "quite another text here", "z"), (None, "a b c d", "n")], "doc_id long, text string, source string")
     assert sorted((r.doc_id or 0) for r in simhash.keep_one_of_each_group(df).collect()) == [0, 2, 9]
+
+
+def jaccard(a: str, b: str) -> float:
+    x, y = ({" ".join(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_texts_are_found_and_others_left(spark, monkeypatch):
+    rnd = random.Random(12)
+    words = ["w%d" % i for i in range(3000)]
+    texts, pairs = {}, []
+    for i in range(150):
+        base = [rnd.choice(words) for _ in range(rnd.randint(80, 300))]
+        texts[2 * i] = " ".join(base)
+        for _ in range(max(1, len(base) * rnd.choice([0, 1, 2, 4]) // 200)):
+            base[rnd.randrange(len(base))] = "changed"
+        texts[2 * i + 1] = " ".join(base)
+    df = spark.createDataFrame([*texts.items(), (9000, None), (9001, " "), (None, texts[0])], "doc_id long, text string")
+    for small in (16, 1):  # with 1 every list grows its groups
+        monkeypatch.setattr(simhash, "SMALL_LIST", small)
+        roots = {r.node: r.root for r in simhash.similar_groups(df).collect()}
+        near = [i for i in range(0, 300, 2) if jaccard(texts[i], texts[i + 1]) >= 0.85]
+        assert len(near) > 80 and sum(roots.get(i + 1) == i for i in near) >= 0.95 * len(near)
+        assert all(root in (node, node - 1) for node, root in roots.items())
+        assert roots[9001] == 9000
+
+
+def test_wide_fingerprint():
+    a = "one two three four five six seven"
+    assert simhash.wide_fingerprint(b"") == bytes(32) != simhash.wide_fingerprint(b"one")
+    assert simhash.wide_fingerprint(a.encode()) == simhash.wide_fingerprint(a.upper().replace(" ", "\n ").encode())
+    positions = simhash._positions()
+    assert len(set(positions)) == 64 and all(sum(p in pair for pair in positions) == 4 for p in range(32))
