@@ -63,7 +63,7 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): the number of edges never grows and each
     step is a pre-aggregated minimum and an equi-join with a written table, which adaptive execution can split
-    when one node has very many neighbours. Stops when a round leaves every edge as it was.
+    when one node has very many neighbours. Stops when every component is a star, often before the first round.
     """
     spark = edges.sparkSession
     paths: list[str] = []
@@ -88,24 +88,21 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
             out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         return put(out.where("u <> v").distinct(), "edges")
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def settled(e: DataFrame) -> bool:
+        """Every u has one v, and no v is a u: each component is a star around its smallest node."""
+        n, n_u = e.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+        return n == n_u and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
 
     now = put(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = mark(now)
-    for _ in range(max_rounds):
-        if not before[0]:
+    for turn in range(max_rounds + 1):
+        if settled(now):
             break
-        keep_from = len(paths)
+        if turn == max_rounds:
+            raise RuntimeError(f"{name}: components did not settle in {max_rounds} rounds")
+        old = list(paths)
         now = star(star(now, True), False)
-        after = mark(now)
-        for p in paths[: max(0, keep_from)]:
+        for p in old:
             drop_path(spark, p)
-        del paths[:keep_from]
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"{name}: components did not settle in {max_rounds} rounds")
+        del paths[: len(old)]
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
