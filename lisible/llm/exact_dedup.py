@@ -127,7 +127,7 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     tested = hashed.withColumn(maybe_col, may_repeat(F.col(hash_col)))
     alone = tested.where(~F.col(maybe_col)).select(*df.columns)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first")
-    firsts = materialise(keys.groupBy(F.col("hash").alias("of_hash")).agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select("of_hash", F.col("first.id").alias("of_id")), "dedup-firsts")
+    firsts = materialise(keys.where(may_repeat(F.col("hash"))).groupBy(F.col("hash").alias("of_hash")).agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select("of_hash", F.col("first.id").alias("of_id")), "dedup-firsts")
     repeated = tested.where(F.col(maybe_col)).join(firsts, F.col(hash_col) == F.col("of_hash"), "left")
     keepers = repeated.where(F.col("of_hash").isNull() | F.col(id_col).eqNullSafe(F.col("of_id")))
     turn = free_column(df, "turn")
