@@ -23,7 +23,7 @@ from .common import with_fields
 
 
 #: Distinct pre-tokens that a worker remembers; beyond it the memory is emptied, results are the same.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 600_000
 #: A text over so many characters is cut into pre-tokens lazily, a part at a time.
 LONG_TEXT, PART = 1 << 20, 1 << 16
 
@@ -98,33 +98,69 @@ class ByteBPE:
         whole = ranks.get(piece)
         if whole is not None:
             return (whole,)
-        n, queue = len(piece), self.queue
+        # the queue's push and pop are written out here: most pre-tokens are short, and calls would cost more than the work
+        n, get = len(piece), ranks.get
+        buckets, low, mid, top = self.queue.buckets, self.queue.low, self.queue.mid, 0
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         pair = [-1] * n  # the rank of the pair that starts at a position now; entries with another rank are stale
         for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
+            r = get(piece[i : i + 2])
             if r is not None:
                 pair[i] = r
-                queue.push(r, i)
-        while queue.top:
-            r, i = queue.pop()
+                bucket = buckets.get(r)
+                if bucket is None:
+                    buckets[r] = [i]
+                    a = r >> 6
+                    low[a] |= 1 << (r & 63)
+                    mid[a >> 6] |= 1 << (a & 63)
+                    top |= 1 << (a >> 6)
+                else:
+                    bucket.append(i)  # positions rise, so the list stays a heap
+        while top:
+            m = (top & -top).bit_length() - 1
+            w = mid[m]
+            a = (m << 6) + (w & -w).bit_length() - 1
+            bits = low[a]
+            r = (a << 6) + (bits & -bits).bit_length() - 1
+            bucket = buckets[r]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[r]
+                low[a] = bits = bits & (bits - 1)
+                if not bits:
+                    mid[m] = w = w & (w - 1)
+                    if not w:
+                        top &= top - 1
             if pair[i] != r:
                 continue
             j = after[i]
             k = after[j]
             after[i], end[i], pair[j], pair[i] = k, end[j], -1, -1
+            h = before[i]
+            changed = []
             if k < n:
                 before[k] = i
-                r = ranks.get(piece[i : end[k]])
+                r = get(piece[i : end[k]])
                 if r is not None:
                     pair[i] = r
-                    queue.push(r, i)
-            h = before[i]
+                    changed.append((r, i))
             if h >= 0:
-                r = ranks.get(piece[h : end[i]])
+                r = get(piece[h : end[i]])
                 pair[h] = -1 if r is None else r
                 if r is not None:
-                    queue.push(r, h)
+                    changed.append((r, h))
+            for r, i in changed:
+                bucket = buckets.get(r)
+                if bucket is None:
+                    buckets[r] = [i]
+                    a = r >> 6
+                    low[a] |= 1 << (r & 63)
+                    mid[a >> 6] |= 1 << (a & 63)
+                    top |= 1 << (a >> 6)
+                else:
+                    heappush(bucket, i)
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : end[i]]])
