@@ -161,8 +161,9 @@ class FingerprintIndex:
         return out
 
     def add(self, batch: DataFrame) -> None:
-        grouped = batch.groupBy("h").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"))
-        self.runs.append(self._write(grouped.repartition(self.buckets, "h")))
+        # dealt by bucket once; the group-by and the bucketed write keep that partitioning, and tasks have combined before
+        grouped = batch.repartition(self.buckets, "h").groupBy("h").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"))
+        self.runs.append(self._write(grouped))
         if len(self.runs) >= MAX_RUNS:
             self.compact()
 
