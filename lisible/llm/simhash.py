@@ -15,6 +15,7 @@ spanning forest of the links leaves a list, never its pairs.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -186,8 +187,10 @@ WIDE_SHINGLE, WIDE_WORDS, WIDE_TABLES = 5, 4, 64
 #: Shingle sets of Jaccard similarity 0.8 stand at a cosine of 8/9, so 15.2 % of the bits (39 of 256) are expected to
 #: differ, give or take 5.7, and 8.6 of 32 positional bytes to be shared; unrelated texts share one in eight times.
 WIDE_BITS, WIDE_SHARED = 44, 4
-#: Lists up to this size compare all pairs at once; larger ones grow groups from a member.
+#: Lists up to this size compare all pairs at once; larger ones meet their first member before.
 SMALL_LIST = 16
+#: Common shingles: one text in so many is looked at, so many of these hold the shingle, so many shingles at most.
+COMMON_ONE_IN, COMMON_LEAST, COMMON_MOST = 16, 4, 100_000
 _SALTS = np.array([0x0, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7], np.uint64)
 
 
@@ -219,102 +222,195 @@ def wide_fingerprint(data: bytes, shingle: int = WIDE_SHINGLE) -> bytes:
     return np.packbits(counts * 2 > n).tobytes()
 
 
-def _wide_fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def shingle_set(data: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """Distinct XXH64 of the text's shingles, sorted; a shorter text is one shingle, a wordless one the empty shingle."""
+    words = data.lower().split()
+    joined, digest = b" ".join(words), xxhash.xxh64_digest
+    n = max(1, len(words) - shingle + 1)
+    if n == 1:
+        return np.frombuffer(digest(joined, SEED), ">u8").astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts, ends = (ends - lengths)[:n].tolist(), ends[shingle - 1 :].tolist()
+    return np.unique(np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)]), ">u8").astype(np.uint64))
+
+
+def prefix(own: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare before common, then by hash: sets of similarity 0.8 or more share one of them.
+
+    Such sets share ceil(0.8 n) shingles of each, so not all of these lie behind the first n - ceil(0.8 n) + 1.
+    """
+    n = len(own)
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+        own = np.concatenate([own[~late], own[late]])
+    return own[: n - -(-4 * n // 5) + 1]
+
+
+def parities(own: np.ndarray) -> bytes:
+    """For 2^k buckets, two a shingle at least, whether a bucket holds an odd number of shingles."""
+    size = max(8, 1 << (2 * len(own) - 1).bit_length())
+    return np.packbits((np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def may_be_similar(n: int, a: bytes, m: int, b: bytes) -> bool:
+    """Never false for similar sets: they differ in (n + m) / 9 shingles at most, and each changes one parity."""
+    if 5 * min(n, m) < 4 * max(n, m):
+        return False
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        half = len(a) // 2
+        a = (int.from_bytes(a[:half]) ^ int.from_bytes(a[half:])).to_bytes(half)
+    return 9 * (int.from_bytes(a) ^ int.from_bytes(b)).bit_count() <= n + m
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the similarity of two shingle sets is 0.8 or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def _name(own: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "big", signed=True)
+
+
+def _common_shingles(df: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    """Shingles that many texts of a sample hold, COMMON_MOST at most. They only order the sets; no result depends on them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "wide"])
+            for x in batch.column(0).cast(pa.binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x or b"").view(np.int64))], ["h"])
 
-    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, wide binary")
+    sample = df.where(F.pmod(F.xxhash64(id_col), F.lit(COMMON_ONE_IN)) == 0).select(text_col)
+    top = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON_LEAST).orderBy(F.desc("count"), "h").limit(COMMON_MOST)
+    return np.sort(np.array([r.h for r in top.select("h").collect()], np.int64).view(np.uint64))
 
 
-def _wide_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pairs = _positions()
-    names = ["key", "id", *(f"w{i}" for i in range(WIDE_WORDS))]
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            ids, data = part.column(0).to_numpy(), np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-            keys = np.concatenate([(np.int64(t) << 16) | (data[:, i].astype(np.int64) << 8) | data[:, j] for t, (i, j) in enumerate(pairs)])
-            words = np.tile(data.copy().view(np.int64), (len(pairs), 1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(ids, len(pairs))), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(WIDE_WORDS))], names)
-
-
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Tally of shared positional bytes, then the bits that differ."""
-    x = np.ascontiguousarray(a ^ b).view(np.uint64)
-    shared = (x.view(np.uint8).reshape(*x.shape[:-1], -1) == 0).sum(axis=-1)
-    return (shared >= WIDE_SHARED) & (np.bitwise_count(x).sum(axis=-1) <= WIDE_BITS)
-
-
-def _grown(ids: np.ndarray, words: np.ndarray) -> list[tuple[int, int]]:
-    """Links of one list, each group grown from its smallest id: a member is compared with those that no group has yet."""
-    out, left = [], np.argsort(ids, kind="stable")
-    while len(left):
-        first, frontier, left = left[0], [left[0]], left[1:]
-        while frontier and len(left):
-            hit = _near(words[left], words[frontier.pop()][None, :])
-            found = left[hit]
-            out += [(int(ids[i]), int(ids[first])) for i in found]
-            frontier += found.tolist()
-            left = left[~hit]
-    return out
+def _described(df: DataFrame, id_col: str, text_col: str, common: np.ndarray) -> DataFrame:
+    """id, node (a name of the shingle set), n, first (its prefix), odd (its parities)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            columns = [pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([prefix(s, common).view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parities(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "node", "n", "first", "odd"])
 
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, node long, n long, first array<long>, odd binary")
 
-def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by key and id: (u, v) ids of texts that are near."""
 
-    def links(keys: np.ndarray, ids: np.ndarray, words: np.ndarray) -> pa.RecordBatch | None:
-        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-        size = np.repeat(np.diff(cut), np.diff(cut))
-        us, vs = [], []
-        for k in range(1, SMALL_LIST):
-            at = np.flatnonzero((keys[k:] == keys[:-k]) & (size[k:] <= SMALL_LIST))
-            if not len(at):
-                break
-            at = at[_near(words[at], words[at + k])]
-            us.append(ids[at + k])
-            vs.append(ids[at])
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            if b - a > SMALL_LIST:
-                grown = np.array(_grown(ids[a:b], words[a:b]), np.int64).reshape(-1, 2)
-                us.append(grown[:, 0])
-                vs.append(grown[:, 1])
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"]) if len(u) else None
-
-    held: list[tuple[np.ndarray, ...]] = []
-    join = lambda parts: tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Over rows sorted by their first column: (that column, the others), whole lists only."""
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        words = np.stack([batch.column(2 + i).to_numpy() for i in range(WIDE_WORDS)], axis=1)
+        columns = [c.to_numpy() for c in batch.columns]
+        keys = columns[0]
         last = int(np.searchsorted(keys, keys[-1]))
         if last or held and held[-1][0][-1] != keys[-1]:
-            out = links(*join([*held, (keys[:last], ids[:last], words[:last])]))
+            keys, *rest = (np.concatenate(x) for x in zip(*held, [c[:last] for c in columns], strict=True))
             held = []
-            if out is not None:
-                yield out
-        held.append((keys[last:], ids[last:], words[last:]))
-    if held and (out := links(*join(held))) is not None:
-        yield out
+            yield keys, rest
+        held.append([c[last:] for c in columns])
+    if held:
+        keys, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield keys, rest
+
+
+def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, n) → (key, u, v, n, large): all pairs of a small list; of a large one every member with the first."""
+    for keys, (nodes, n) in _lists(batches):
+        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+        sizes = np.diff(cut)
+        size = np.repeat(sizes, sizes)
+        out = []
+        for k in range(1, SMALL_LIST):
+            at = np.flatnonzero((keys[k:] == keys[:-k]) & (size[k:] <= SMALL_LIST))
+            if not len(at):
+                break
+            at = at[5 * np.minimum(n[at], n[at + k]) >= 4 * np.maximum(n[at], n[at + k])]
+            out.append((keys[at], nodes[at + k], nodes[at], n[at + k], np.zeros(len(at), bool)))
+        at = np.flatnonzero(size > SMALL_LIST)
+        out.append((keys[at], nodes[at], nodes[np.repeat(cut[:-1], sizes)[at]], n[at], np.ones(len(at), bool)))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+        if len(columns[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "u", "v", "n", "large"])
+
+
+def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, n, root) of large lists → (u, v): all pairs whose groups differ and whose sizes allow similarity."""
+    for keys, (nodes, n, root) in _lists(batches):
+        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            own, m, r = nodes[a:b], n[a:b], root[a:b]
+            if (r == r[0]).all():
+                continue
+            order = np.argsort(m, kind="stable")
+            own, m, r = own[order], m[order], r[order]
+            upto = np.searchsorted(4 * m, 5 * m, "right")
+            for i in range(len(own)):
+                v = own[i + 1 : upto[i]][r[i + 1 : upto[i]] != r[i]]
+                if len(v):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(v, own[i])), pa.array(np.minimum(v, own[i]))], ["u", "v"])
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (u, v) of nodes whose shingle sets have a similarity of 0.8 or more, computed from the texts."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, n, a, m, b = (c.to_pylist() for c in batch.columns)
+            yield batch.select([0, 1]).filter(pa.array(list(map(may_be_similar, n, a, m, b)), pa.bool_()))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(x or b"") for x in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "shingles"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array(list(map(similar, a, b)), pa.bool_()))
+
+    side = lambda t, name, *columns: t.select(F.col("node").alias(name), *(F.col(c).alias(c + name) for c in columns))
+    joined = pairs.where("u <> v").distinct().join(side(nodes, "u", "n", "odd"), "u").join(side(nodes, "v", "n", "odd"), "v").select("u", "v", "nu", "oddu", "nv", "oddv")
+    left = materialise(joined.mapInArrow(possible, "u long, v long"), "similar-possible")
+    asked = left.select(F.col("u").alias("node")).union(left.select("v")).distinct()
+    ids = nodes.join(asked, "node", "left_semi").select(F.col("low").alias("asked_id")).distinct()
+    rows = df.select(F.col(id_col).cast("long").alias("asked_id"), F.col(text_col).alias("asked_text")).join(ids, "asked_id", "left_semi")
+    texts = materialise(rows.select("asked_text").mapInArrow(sets, "node long, shingles binary").join(asked, "node", "left_semi").dropDuplicates(["node"]), "similar-sets")
+    both = left.join(side(texts, "u", "shingles"), "u").join(side(texts, "v", "shingles"), "v").select("u", "v", "shinglesu", "shinglesv")
+    return materialise(both.mapInArrow(compared, "u long, v long"), "similar-links")
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, root for texts that have a near copy: shingles of five words, similarity 0.8 or more, or linked fingerprints.
+    """id, root for texts that have a near copy: sets of five-word shingles with a similarity of 0.8 or more, or linked fingerprints.
 
-    Two sources of links: those of near_duplicates (three words, three bits), and wide fingerprints that share two
-    positional bytes in one of WIDE_TABLES tables, WIDE_SHARED in all, and differ in at most WIDE_BITS of 256 bits.
-    Measured on random texts, 96 % of pairs at similarity 0.85 are found, 79 % at 0.8, 3 % at 0.6. root is the smallest id.
+    Every pair at 0.8 or more is in the list of a shingle that both sets' prefixes hold. Pairs of a list are dropped by
+    size and parities where these rule 0.8 out, and otherwise compared shingle by shingle. In a list of over SMALL_LIST
+    members all meet the first one, and then all pairs that no link joins yet. Equal sets are one node. root is the
+    smallest id.
     """
+    common = _common_shingles(df, id_col, text_col)
+    told = materialise(_described(df, id_col, text_col, common), "similar-told")
+    told_once = told.groupBy("node", "n").agg(F.min("id").alias("low"), F.first("first").alias("first"), F.first("odd").alias("odd"))
+    nodes = materialise(told_once, "similar-nodes")
+    lists = nodes.select(F.explode("first").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key", "node")
+    met = materialise(lists.mapInArrow(_first_pairs, "key long, u long, v long, n long, large boolean"), "similar-met")
+    links = _verified(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), nodes, df, id_col, text_col)
+    large = met.where("large").select("key", F.col("u").alias("node"), "n")
+    if not large.isEmpty():
+        roots = connected_components(links, "similar-first")
+        rest = large.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")).repartition("key").sortWithinPartitions("key", "node")
+        links = links.union(_verified(rest.mapInArrow(_other_pairs, "u long, v long"), nodes, df, id_col, text_col))
+    roots = connected_components(links, "similar-nodes")
+    rooted = nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    smallest = materialise(rooted.groupBy("root").agg(F.min("low").alias("v")), "similar-smallest")
+    named = materialise(rooted.join(smallest, "root").select("node", "v"), "similar-named")
+    edges = told.select("id", "node").join(named, "node").select(F.col("id").alias("u"), "v")
     close = near_duplicates(df, id_col, text_col).where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id"))).select(F.col(id_col).cast("long").alias("u"), F.col("component_id").cast("long").alias("v"))
-    wide = materialise(_wide_fingerprints(df, id_col, text_col), "wide-fps")
-    nodes = materialise(wide.groupBy("wide").agg(F.min("id").alias("low")).select("low", "wide"), "wide-nodes")
-    schema = "key long, id long, " + ", ".join(f"w{i} long" for i in range(WIDE_WORDS))
-    lists = nodes.mapInArrow(_wide_postings, schema).repartition("key").sortWithinPartitions("key", "id")
-    equal = wide.join(nodes, "wide").where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v"))
-    return connected_components(close.union(lists.mapInArrow(_wide_links, "u long, v long")).union(equal), "similar")
+    return connected_components(edges.union(close), "similar")
 
 
 def keep_one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

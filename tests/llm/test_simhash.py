@@ -138,3 +138,42 @@ def test_wide_fingerprint():
     assert simhash.wide_fingerprint(a.encode()) == simhash.wide_fingerprint(a.upper().replace(" ", "\n ").encode())
     positions = simhash._positions()
     assert len(set(positions)) == 64 and all(sum(p in pair for pair in positions) == 4 for p in range(32))
+
+
+def near_pairs(seed: int, n: int, share: float) -> dict[int, str]:
+    """2 i and 2 i + 1 are copies with so many changed words that their similarity is about `share`."""
+    rnd, texts = random.Random(seed), {}
+    for i in range(n):
+        base = ["v%d" % rnd.randrange(50_000) for _ in range(rnd.randint(150, 400))]
+        texts[2 * i] = " ".join(base)
+        for _ in range(round(len(base) * (1 - share) / (1 + share) / 5)):
+            base[rnd.randrange(len(base))] = "changed"
+        texts[2 * i + 1] = " ".join(base)
+    return texts
+
+
+def test_all_pairs_at_the_threshold_are_found(spark, monkeypatch):
+    """Recall at 0.8 and little above is that of brute force; so it is in lists that are large or of common shingles."""
+    texts = near_pairs(4, 150, 0.81)
+    shared = " ".join(texts[0].split()[:60])
+    texts |= {1000 + i: f"{t} {shared}" for i, t in near_pairs(5, 40, 0.8).items()}
+    near = [i for i in texts if i % 2 == 0 and jaccard(texts[i], texts[i + 1]) >= 0.8]
+    assert 100 < len(near) and sum(jaccard(texts[i], texts[i + 1]) < 0.83 for i in near) > 60
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    for small, least in ((16, 4), (2, 10**6)):
+        monkeypatch.setattr(simhash, "SMALL_LIST", small)
+        monkeypatch.setattr(simhash, "COMMON_LEAST", least)
+        roots = {r.node: r.root for r in simhash.similar_groups(df).collect()}
+        assert all(roots.get(i + 1) == i for i in near)
+
+
+def test_filters_never_drop_similar_sets():
+    rnd = np.random.default_rng(8)
+    for n in [*range(1, 40), 100, 127, 128, 129, 1000] * 4:
+        own = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))
+        keep = own[rnd.permutation(n)[: n - rnd.integers(0, n // 8 + 1)]]
+        other = np.unique(np.concatenate([keep, rnd.integers(0, 1 << 63, rnd.integers(0, n // 8 + 1)).astype(np.uint64)]))
+        common = np.sort(own[:: int(rnd.integers(1, 5))])
+        if simhash.similar(own, other):
+            assert np.isin(simhash.prefix(own, common), simhash.prefix(other, common)).any()
+            assert simhash.may_be_similar(len(own), simhash.parities(own), len(other), simhash.parities(other))
