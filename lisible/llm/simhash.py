@@ -385,10 +385,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, id_col: str, te
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, root for texts that have a near copy: sets of five-word shingles with a similarity of 0.8 or more, or linked fingerprints.
+    """id, root for texts that have a near copy: sets of five-word shingles with a similarity of 0.8 or more.
 
     Every pair at 0.8 or more is in the list of a shingle that both sets' prefixes hold. Pairs of a list are dropped by
-    size and parities where these rule 0.8 out, and otherwise compared shingle by shingle. In a list of over SMALL_LIST
+    size and parities where these rule 0.8 out, and otherwise compared shingle by shingle; no other link counts. In a list of over SMALL_LIST
     members all meet the first one, and then all pairs that no link joins yet. Equal sets are one node. root is the
     smallest id.
     """
@@ -409,8 +409,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smallest = materialise(rooted.groupBy("root").agg(F.min("low").alias("v")), "similar-smallest")
     named = materialise(rooted.join(smallest, "root").select("node", "v"), "similar-named")
     edges = told.select("id", "node").join(named, "node").select(F.col("id").alias("u"), "v")
-    close = near_duplicates(df, id_col, text_col).where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id"))).select(F.col(id_col).cast("long").alias("u"), F.col("component_id").cast("long").alias("v"))
-    return connected_components(edges.union(close), "similar")
+    return connected_components(edges, "similar")
 
 
 def keep_one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

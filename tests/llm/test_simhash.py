@@ -177,3 +177,21 @@ def test_filters_never_drop_similar_sets():
         if simhash.similar(own, other):
             assert np.isin(simhash.prefix(own, common), simhash.prefix(other, common)).any()
             assert simhash.may_be_similar(len(own), simhash.parities(own), len(other), simhash.parities(other))
+
+
+def test_links_are_verified_on_the_texts(spark):
+    """Repeats, which fingerprints count and sets do not, link no texts; nor do 64-bit fingerprints of texts under 0.8."""
+    rnd, texts = random.Random(1), {}
+    for i in range(0, 20, 2):
+        passage = " ".join("q%d" % rnd.randrange(5000) for _ in range(30))
+        for j in (i, i + 1):
+            texts[j] = " ".join([passage] * 10 + ["q%d" % rnd.randrange(5000) for _ in range(100)])
+    for i in range(100, 120, 2):
+        passage = " ".join("r%d" % rnd.randrange(5000) for _ in range(9))
+        for j in (i, i + 1):
+            texts[j] = " ".join([passage] * 100 + ["r%d" % rnd.randrange(5000) for _ in range(10)])
+    assert all(jaccard(texts[i], texts[i + 1]) < 0.8 for i in texts if i % 2 == 0)
+    apart = [(simhash.fingerprint(texts[i].encode()) ^ simhash.fingerprint(texts[i + 1].encode())).bit_count() for i in range(100, 120, 2)]
+    assert min(apart) <= 3
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    assert simhash.similar_groups(df).count() == 0
