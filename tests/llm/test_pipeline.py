@@ -70,3 +70,20 @@ def test_stages_keep_columns(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
+
+
+def test_order_of_the_mix_survives_rereading(spark, tmp_path):
+    """Part files of different sizes, which Spark reads largest first."""
+    rnd = random.Random(9)
+    docs = [(i, "w " * (1 + i % 300), "en", rnd.choice("aab"), 1) for i in range(2000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix_sources(spark, df, str(tmp_path))
+    places = {r.doc_id: (r.slot, r.position) for r in corpus_pipeline.pfair_mix.mix(df).collect()}
+    own = mixed.collect()
+    assert [places[r.doc_id] for r in own] == sorted(places.values())
+    for k, part in enumerate((own[:200], own[200:1900], own[1900:])):
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append" if k else "overwrite").parquet(f"{tmp_path}/mixed")
+    reread = spark.read.parquet(f"{tmp_path}/mixed")
+    assert [r.doc_id for r in reread.collect()] != [r.doc_id for r in own]
+    out = corpus_pipeline.tokenise(spark, reread, str(tmp_path)).collect()
+    assert [places[r.doc_id] for r in out] == sorted(places.values())
