@@ -378,6 +378,24 @@ def question_context_budget(spark, d):
     return Q.contexts(_asked(spark, d), ["doc_id", "item_id"])
 
 
+ASKED_OF_ALL = ASKED.replace("b.item_id = r.doc_id % 40", "true")
+
+
+def _asked_of_all(spark, d):
+    """Every document is asked every benchmark item."""
+    return Q.corpus_scores(own_blocks(spark, d).select("doc_id", "block", "page", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("question")), "item_id")
+
+
+@query(f"WITH {ASKED_OF_ALL} SELECT doc_id, item_id, block, CAST(score AS INTEGER) AS score FROM scores WHERE score > 0")
+def question_corpus_scores(spark, d):
+    return _asked_of_all(spark, d).select("doc_id", "item_id", "block", "score")
+
+
+@query(f"WITH {ASKED_OF_ALL}, best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, page, block) AS rank FROM scores WHERE score > 0) SELECT doc_id, item_id, block, CAST(score AS INTEGER) AS score, CAST(rank AS INTEGER) AS rank FROM best WHERE rank <= 10")
+def question_corpus_top10(spark, d):
+    return Q.top_blocks(_asked_of_all(spark, d), ["doc_id", "item_id"]).select("doc_id", "item_id", "block", "score", "rank")
+
+
 ANNOTATED = """
 raw AS (SELECT doc_id, block AS seq, page || '-' || block_index AS block_key, page AS page_number, CAST(length(text) % 7 AS INTEGER) AS start, CAST(length(text) % 7 + length(text) % 5 AS INTEGER) AS "end",
   CASE WHEN block % 3 = 0 THEN 'rose' ELSE '' END AS color, 'a' || length(text) % 11 AS id FROM blocks),
