@@ -640,13 +640,18 @@ def phoneme_units(spark, d):
 
 
 def _items(spark, d):
-    """Words of French documents set on a page, twelve units high and a line of the text a line of the page."""
-    own = own_blocks(spark, d).where("page = 1").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("page").alias("page_number"), "block_index", F.posexplode(F.filter(F.split("text", " "), lambda w: w != "")).alias("i", "str"))
+    """Words of documents set on their pages, twelve units high and a line of the text a line of the page."""
+    own = own_blocks(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("page").alias("page_number"), "block_index", F.posexplode(F.filter(F.split("text", " "), lambda w: w != "")).alias("i", "str"))
     return own.select("doc_id", "page_number", (F.col("block_index") * 10_000 + F.col("i")).alias("item_seq"), "str", (F.col("i") * 60.0).alias("x"), (700.0 - F.col("block_index") * 16).alias("y"), F.lit(12.0).alias("font_size"), F.lit(56.0).alias("width"), F.lit(800.0).alias("page_height"))
 
 
 @query(f"WITH {BLOCKS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, page AS page_number, CAST(block_index AS INTEGER) AS line_index, CAST(len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS INTEGER) AS n_items FROM blocks WHERE page = 1")
 def layout_lines(spark, d):
+    return L.lines(_items(spark, d).where("page_number = 1")).select("doc_id", "page_number", "line_index", "n_items")
+
+
+@query(f"WITH {BLOCKS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, page AS page_number, CAST(block_index AS INTEGER) AS line_index, CAST(len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS INTEGER) AS n_items FROM blocks")
+def layout_lines_all_pages(spark, d):
     return L.lines(_items(spark, d)).select("doc_id", "page_number", "line_index", "n_items")
 
 

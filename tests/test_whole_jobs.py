@@ -15,3 +15,9 @@ def test_every_document_meets_every_question(spark):
     words = {0: ["chat"], 41: ["chien", "maison"]}
     want = {(d, b, i): n for (d, b), t in texts.items() for i, ws in words.items() if (n := sum(w in t for w in ws))}
     assert {(r.doc_id, r.block, r.item_id): r.score for r in got} == want and len(got) == len(want)
+
+
+def test_layout_blocks_covers_all_pages(spark):
+    pages = catalog.own_blocks(spark, FOLDER).where("trim(text) <> ''").selectExpr("cast(doc_id as string) AS doc_id", "page").distinct()
+    got = entry.queries()["layout_blocks"](spark, FOLDER).selectExpr("doc_id", "page_number AS page").distinct()
+    assert pages.where("page > 1").count() > 0 and pages.exceptAll(got).count() == 0
