@@ -587,6 +587,17 @@ def dictionary_lookup(spark, d):
     return W.dictionary_lookup(words, W.dictionary_index(spark.createDataFrame(SEEDS, SEED_SCHEMA))).select("word", "lemma")
 
 
+@query(rf"""WITH tokens AS (SELECT unnest(regexp_extract_all(text, '{WORD_SQL}')) AS word FROM documents), vocabulary AS (SELECT word, count(*) AS n FROM tokens GROUP BY word),
+keyed AS (SELECT word, n, {KEY_SQL} AS key FROM vocabulary),
+forms AS (SELECT word, unnest([key, CASE WHEN key LIKE '%s' AND length(key) >= 5 THEN left(key, length(key) - 1) END, CASE WHEN key LIKE '%es' AND length(key) >= 6 THEN left(key, length(key) - 2) END,
+  CASE WHEN key LIKE '%x' AND length(key) >= 5 THEN left(key, length(key) - 1) || 'u' END, CASE WHEN key LIKE '%x' AND length(key) >= 5 THEN left(key, length(key) - 1) END]) AS form, unnest(range(1, 6)) AS pos FROM keyed),
+found AS (SELECT word, min_by(lemma, pos) AS lemma FROM forms JOIN (VALUES {INDEX_VALUES}) AS t(key, lemma) ON form = t.key GROUP BY word)
+SELECT v.word, n, lemma FROM vocabulary v LEFT JOIN found f ON f.word = v.word""")
+def dictionary_lookup_documents(spark, d):
+    """The words of all documents, each counted once before it is looked up."""
+    return W.dictionary_lookup(W.vocabulary(docs(spark, d)), W.dictionary_index(spark.createDataFrame(SEEDS, SEED_SCHEMA))).select("word", "n", "lemma")
+
+
 @query()
 def syllables_vocab(spark, d):
     return W.syllables(W.vocabulary(_french(spark, d)))

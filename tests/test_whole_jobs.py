@@ -21,3 +21,9 @@ def test_layout_blocks_covers_all_pages(spark):
     pages = catalog.own_blocks(spark, FOLDER).where("trim(text) <> ''").selectExpr("cast(doc_id as string) AS doc_id", "page").distinct()
     got = entry.queries()["layout_blocks"](spark, FOLDER).selectExpr("doc_id", "page_number AS page").distinct()
     assert pages.where("page > 1").count() > 0 and pages.exceptAll(got).count() == 0
+
+
+def test_words_of_documents_are_looked_up(spark, tmp_path):
+    spark.createDataFrame([(1, "Molécules molécule et animaux"), (2, "molécule"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["dictionary_lookup_documents"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {("Molécules", 1, "molécule"), ("molécule", 2, "molécule"), ("et", 1, None), ("animaux", 1, "animal")}
