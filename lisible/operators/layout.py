@@ -116,11 +116,12 @@ def fold(page: pd.DataFrame) -> pd.DataFrame:
 
 
 def typed_lines(found: DataFrame) -> DataFrame:
-    from ..functions.math import measured
+    from ..functions.math import measured, n_units, normalise_notation
     from .blocks import block_type, table_like
 
     metrics = {"baseline_spread": F.col("baseline_spread"), "line_height": F.col("height"), "font_spread": F.col("font_spread")}
-    out = measured(found, F.array_join("cells", ". "), None, metrics)
+    text = F.array_join("cells", ". ")
+    out = measured(found, text, n_units(normalise_notation(text)), metrics)
     large = F.col("height") >= F.col("median_font") * 1.2
     is_table = ~F.col("is_formula") & ~(large & (F.length("text") <= 90)) & table_like(F.col("cells"), F.col("n_items"))
     kind = block_type(F.col("text"), F.col("is_formula"), is_table, large)

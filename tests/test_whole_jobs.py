@@ -1,6 +1,8 @@
 """Queries do the whole job: all questions, all pages, all words."""
 
 import __spark_entry__ as entry
+from lisible.functions import math as M
+from lisible.operators import layout as L
 from lisible.operators import retrieval as Q
 from lisible.plans import catalog
 
@@ -27,3 +29,11 @@ def test_words_of_documents_are_looked_up(spark, tmp_path):
     spark.createDataFrame([(1, "Molécules molécule et animaux"), (2, "molécule"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = entry.queries()["dictionary_lookup_documents"](spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == {("Molécules", 1, "molécule"), ("molécule", 2, "molécule"), ("et", 1, None), ("animaux", 1, "animal")}
+
+
+def test_units_make_formulas_of_a_layout(spark):
+    counts = {"vitesse 12 km": 1, "3 m": 1, "il a dit": 0, "l'a 3": 0, "la pression 20 Pa et 5 °C": 2, "5 kg 3 min": 2, "12 kmx": 0, "m": 0, "cm²": 1, "": 0}
+    assert {t: M.count_units(t) for t in counts} == counts
+    words = [("d", 1, i, w, i * 60.0, 700.0, 12.0, 56.0, 800.0) for i, w in enumerate("vitesse de 12 km".split())]
+    items = spark.createDataFrame(words, "doc_id string, page_number int, item_seq int, str string, x double, y double, font_size double, width double, page_height double")
+    assert [r.type for r in L.blocks(items).collect()] == ["formula"]
