@@ -18,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the cluster names none (tests) a local one is set."""
+    """The folder that driver and executors share. A local one is set only where there is one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lisible-"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
@@ -40,9 +42,39 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    p, fs = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def put_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all."""
+    p, fs = _file_system(spark, path + ".new")
+    out = fs.create(p, True)
+    out.write(text.encode())
+    out.close()
+    fs.rename(p, _file_system(spark, path)[0])
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    p, fs = _file_system(spark, path)
+    opened = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(opened)).decode()
+    finally:
+        opened.close()
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished files and folders in a folder."""
+    p, fs = _file_system(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in names if not n.endswith(".new"))
 
 
 def with_fields(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:

@@ -83,3 +83,39 @@ def test_runs_are_compacted(spark, monkeypatch):
     index.compact()
     assert len(index.runs) == 1 and sorted(r.h for r in index.repeated().collect()) == [1, 3, 4, 5]
     index.close()
+
+
+def thue_morse(n, flip=False):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_windows_are_verified_by_their_words(spark):
+    """Polynomial hashes modulo 2^64 collide on these two words for every odd base; the windows differ."""
+    rest = " ".join("w%d" % i for i in range(12))
+    rows = [(1, f"{thue_morse(4096)} {rest}"), (2, f"{thue_morse(4096, True)} {rest}"), (3, f"{thue_morse(4096)} {rest}")]
+    a, b = (substring_dedup.Words(t.encode()) for _, t in rows[:2])
+    assert a.hashes(13, 0)[0] == b.hashes(13, 0)[0]
+    got = sorted(tuple(r) for r in substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == plain(rows) and [r[2] for r in got] == [0, 0, 13]
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_batches_one_by_one_equal_one_call(spark, monkeypatch, tmp_path, folder):
+    """Four batches in the order of their ids, the index closed and opened again in between, compacted on the way."""
+    monkeypatch.setattr(substring_dedup, "MAX_RUNS", 2)
+    rows = sorted((r for r in corpus(120) if r[0] is not None), key=lambda r: r[0])
+    path = str(tmp_path / "index")
+    index = substring_dedup.WindowIndex(spark, 3, path if folder else None)
+    got, schema = [], "doc_id long, text string"
+    cuts = [0, 30, 55, 100, len(rows)]
+    cuts = [next((j for j in range(c, len(rows)) if rows[j][0] != rows[j - 1][0]), len(rows)) if 0 < c < len(rows) else c for c in cuts]
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if folder and k:
+            index = substring_dedup.WindowIndex.open(spark, path)
+        earlier = spark.createDataFrame(rows[:a], schema) if a else None
+        got += [tuple(r) for r in substring_dedup.deduplicate_batch(index, spark.createDataFrame(rows[a:b], schema), earlier).collect()]
+    assert sorted(got, key=str) == plain(rows)
+    assert len(index.grams.runs) < 4 and len(index.windows.runs) < 4
+    with pytest.raises(ValueError):
+        index.add_batch(spark.createDataFrame(rows[:1], "id long, text string"))
+    index.close()
