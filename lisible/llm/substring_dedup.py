@@ -325,6 +325,8 @@ def candidate_windows(df: DataFrame, known, holders: bool = False) -> DataFrame:
                 key, pos, settled = np.zeros(len(w), np.int64), np.full(len(w), -1, np.int32), np.zeros(len(w), bool)
             else:
                 settled = doc > doc[np.maximum.accumulate(np.where(first, np.arange(len(w)), 0))]
+                # these compare with nothing any more: dealt at random, so that a common window's do not meet in one task
+                w = np.where(settled, bloom.mix((key + pos).view(np.uint64)).view(np.int64), w)
             return pa.RecordBatch.from_arrays([pa.array(w), pa.array(v), pa.array(doc), pa.array(key), pa.array(pos), pa.array(settled)], ["w", "v", "doc", "key", "pos", "settled"])
 
         for batch in _slices(batches):
@@ -368,7 +370,7 @@ def _later(firsts: bool):
             late = pa.array((pos >= 0) & (settled | (doc > earliest)))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(late) for i in range(5)], ["w", "v", "doc", "key", "pos"])
             if firsts:
-                new = np.flatnonzero(first & ((old > doc) | (old == LAST) & batch.column(6).is_null().to_numpy(zero_copy_only=False)))
+                new = np.flatnonzero(first & ~settled & ((old > doc) | (old == LAST) & batch.column(6).is_null().to_numpy(zero_copy_only=False)))
                 one = batch.take(pa.array(new))
                 yield pa.RecordBatch.from_arrays([*(one.column(i) for i in range(4)), pa.array(np.full(len(new), -1, np.int32))], ["w", "v", "doc", "key", "pos"])
 
