@@ -6,10 +6,14 @@ characters, and white space is Unicode's.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 WORD = "[A-Za-z0-9_]"
 BOUNDARY = f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
@@ -20,9 +24,13 @@ MARKED = "".join(c for c in map(chr, range(0xE0, 0x180)) if c.islower() and len(
 PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in MARKED)
 
 
+#: A boundary before a group whose alternatives all begin with an ASCII letter needs to look back only.
+ASCII_GROUP = re.compile(r"\\b(?=\(\?:(?:[a-z][^()|]*\|)*[a-z][^()|]*\))|\\b(?=[A-Za-z])")
+
+
 def js(pattern: str) -> str:
     """An ECMAScript pattern as a Java one."""
-    return pattern.replace(r"\b", BOUNDARY).replace(r"\s", f"[{SPACE}]")
+    return ASCII_GROUP.sub(f"(?<!{WORD})", pattern).replace(r"\b", BOUNDARY).replace(r"\s", f"[{SPACE}]")
 
 
 def count(c: Column, pattern: str) -> Column:
@@ -63,14 +71,21 @@ def token_type(value: Column) -> Column:
     return F.when(value.rlike(f"^[{SPACE}]+$"), "space").when(value.rlike(r"\p{L}"), "word").when(value.rlike("^[0-9]+$"), "number").otherwise("punct")
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def running_sums(lengths: pa.Array) -> pa.Array:
+    """Of each array of lengths its sums up to every entry. One pass over a batch, whatever the length of a text."""
+    flat = np.concatenate([[0], np.cumsum(lengths.flatten().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    sizes = np.asarray(lengths.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    sums = flat[1:] - np.repeat(flat[offsets[:-1]], sizes)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sums, pa.int32()))
+
+
 def tokens(text: Column, pattern: str = READER_TOKEN) -> Column:
-    """array<struct<value, type, start, end>> of a text; the values joined give the text back."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<value:string,type:string,start:int,end:int>>").alias("out"))
-    return F.aggregate(
-        every(text, pattern),
-        start,
-        lambda acc, v: F.struct((acc["at"] + F.length(v)).alias("at"), F.concat(acc["out"], F.array(F.struct(v.alias("value"), token_type(v).alias("type"), acc["at"].alias("start"), (acc["at"] + F.length(v)).alias("end")))).alias("out")),
-    )["out"]
+    """array<struct<value, type, start, end>> of a text; the values joined give the text back. Null gives null."""
+    found = every(text, pattern)
+    ends = running_sums(F.transform(F.coalesce(found, F.array().cast("array<string>")), F.length))
+    return F.zip_with(found, ends, lambda v, e: F.struct(v.alias("value"), token_type(v).alias("type"), (e - F.length(v)).alias("start"), e.alias("end")))
 
 
 def sentences(text: Column) -> Column:

@@ -57,13 +57,17 @@ def typed(own: DataFrame) -> DataFrame:
 
 
 def diagnostics(own: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per document: blocks, math, formula and table blocks, and pages that have some. Partial aggregates, one shuffle."""
-    page_if = lambda flag: F.count_distinct(F.when(flag, F.col("page")))
-    return typed(own).groupBy(id_col).agg(
-        F.count(F.lit(1)).alias("n_blocks"), F.count_if("contains_math").alias("math_blocks"), F.count_if("is_formula").alias("formula_blocks"),
-        F.count_if(F.col("type") == "table").alias("table_blocks"), F.count_if(F.col("type") == "list").alias("list_blocks"),
-        page_if(F.col("contains_math")).alias("math_pages"), page_if(F.col("is_formula")).alias("formula_pages"),
+    """Per document: blocks, math, formula and table blocks, and pages that have some.
+
+    Counted a page first, so that no row is expanded for the distinct pages. Without blocks a document has no row.
+    """
+    if_ = lambda flag: F.sum(F.when(flag, 1).otherwise(0))
+    pages = typed(own).groupBy(id_col, "page").agg(
+        F.count(F.lit(1)).alias("n_blocks"), if_(F.col("contains_math")).alias("math_blocks"), if_(F.col("is_formula")).alias("formula_blocks"),
+        if_(F.col("type") == "table").alias("table_blocks"), if_(F.col("type") == "list").alias("list_blocks"),
     )
+    total = [F.sum(c).alias(c) for c in ("n_blocks", "math_blocks", "formula_blocks", "table_blocks", "list_blocks")]
+    return pages.groupBy(id_col).agg(*total, F.count_if(F.col("math_blocks") > 0).alias("math_pages"), F.count_if(F.col("formula_blocks") > 0).alias("formula_pages"))
 
 
 def page_models(own: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import AUDIO_TOKEN, every
+from ..functions.text import AUDIO_TOKEN, every, running_sums
 
 
 def segments(text: Column) -> Column:
@@ -27,7 +27,8 @@ def queue(blocks: DataFrame, keys: list[str], order_col: str, text_col: str, sta
     out = blocks.where(F.col(order_col) >= block).select(*keys, order_col, F.posexplode(segments(F.col(text_col))).alias("sentence_index", "text"))
     out = out.where((F.col(order_col) > block) | (F.col("sentence_index") >= sentence))
     first = F.when((F.col(order_col) == block) & (F.col("sentence_index") == sentence), word).otherwise(0)
-    own = F.slice(words(F.col("text")), first + 1, F.lit(1_000_000))
+    all_words = words(F.col("text"))
+    own = F.slice(all_words, first + 1, F.size(all_words))
     return out.select(*keys, order_col, "sentence_index", F.array_join(own, " ").alias("words"), F.size(own).alias("n_words"), first.alias("first_word"))
 
 
@@ -39,12 +40,8 @@ def word_at(starts: Column, char_index: Column) -> Column:
 def starts_of(text: Column) -> Column:
     """Offsets of the audio words of a text."""
     gaps, found = F.split(text, AUDIO_TOKEN, -1), words(text)
-    sums = F.aggregate(
-        F.zip_with(F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))), found, lambda g, w: F.struct(F.length(g).alias("g"), F.length(w).alias("w"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x["g"] + F.coalesce(x["w"], F.lit(0))).alias("at"), F.when(x["w"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["at"] + x["g"]))).alias("out")),
-    )
-    return sums["out"]
+    through = running_sums(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, w: F.length(g) + F.length(w)))
+    return F.zip_with(through, found, lambda end, w: end - F.length(w))
 
 
 def duration_ms(word: Column, rate: float = 1.0) -> Column:

@@ -18,7 +18,7 @@ from ..operators import reading as R
 from ..operators import retrieval as Q
 from ..operators import speech as S
 from ..operators import state as A
-from ..sources.readers import table
+from ..sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table; the small test tables of texts come in one row group each and are dealt over the cores."""
+    found = readers.table(spark, d, name)
+    return readers.spread(found) if name in ("documents", "conversations", "pages") else found
+
+
 def docs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return table(spark, d, "documents").select(*columns or ("doc_id", "text"))
 
@@ -432,9 +438,13 @@ placed AS (SELECT doc_id, block_key, v, CAST(sum(length(v)) OVER (PARTITION BY d
 SELECT p.doc_id, p.block_key, e - length(v) AS start, e AS "end", min_by(color, (k.start, k."end", color)) AS color
 FROM placed p JOIN kept k ON k.doc_id = p.doc_id AND k.block_key = p.block_key AND k.place <= 120 AND k.start < e AND k."end" > e - length(v) GROUP BY ALL""")
 def annotation_overlap(spark, d):
-    tokens = own_blocks(spark, d).select("doc_id", F.concat_ws("-", "page", "block_index").alias("block_key"), F.explode(T.tokens(F.col("text"))).alias("t"))
+    kept = A.normalise_annotations(_annotations(spark, d))
+    own = own_blocks(spark, d).select("doc_id", F.concat_ws("-", "page", "block_index").alias("block_key"), "text")
+    # only blocks with annotations are cut, and only tokens that begin before the last of these ends are looked up
+    own = own.join(kept.groupBy("doc_id", "block_key").agg(F.max("end").alias("upto")), ["doc_id", "block_key"])
+    tokens = own.select("doc_id", "block_key", F.explode(F.filter(T.tokens(F.col("text")), lambda t: t["start"] < F.col("upto"))).alias("t"))
     tokens = tokens.select("doc_id", "block_key", F.col("t.start").cast("long").alias("start"), F.col("t.end").cast("long").alias("end"))
-    return A.overlaps(tokens, A.normalise_annotations(_annotations(spark, d)), ["doc_id", "block_key"]).select("doc_id", "block_key", F.col("start").cast("long").alias("start"), "end", "color")
+    return A.overlaps(tokens, kept, ["doc_id", "block_key"]).select("doc_id", "block_key", F.col("start").cast("long").alias("start"), "end", "color")
 
 
 @query("""WITH last AS (SELECT user_id, event_type, max((ts, event_id)) AS m FROM events GROUP BY ALL),

@@ -72,3 +72,18 @@ def ocr_error(message):
     for code, pattern in reversed(OCR_ERRORS):
         out = F.when(F.lower(message).rlike(pattern), code).otherwise(out)
     return out
+
+
+#: Bytes of a table for every core, below which its few row groups are dealt over the cores.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are too few and small to be split; larger tables stay as they are read.
+
+    A file of one row group is one task, however much work each row is. The rows are the same; only a table of under
+    SPREAD_BYTES a core, by Catalyst's own estimate, is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < SPREAD_BYTES * cores else df
