@@ -1,10 +1,17 @@
 """Main text of web pages by tag-path ratios.
 
-Every root-to-leaf tag path of a page (tags with their classes) gathers the length and the punctuation of the text
-below it. Both, for each node of the path, are smoothed over the paths in page order and fused into one score; paths
-over a threshold hold content. The container that holds most of the content so found is the article, and every block
-of it counts, short ones too, except what markup declares to be something else: menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments.
+Every root-to-leaf tag path of a page (tags with their classes) gathers the length of its text outside links and its
+punctuation. Both, for each node of the path, are smoothed over the paths of the same parent in page order and fused
+into one score; paths over a threshold hold content. A node weighs what the scores of its content add up to, and the
+article is where the way down from the root stops finding one child that has most of the weight. What lies in it is
+kept block by block, short blocks too.
+
+Markup is a prior: scores count less in parts that declare themselves to be menus, headers, footers, sidebars, notices
+or adverts and more in article elements, and inside the article they go if their ratio is below that of the rest. Only what no ratio can tell
+goes by markup alone: what is never shown, forms, and reader comments.
+
+Time and memory are linear in the page: paths are numbers, open elements are found by their tag, and all sums go up
+and all decisions down the tree once.
 """
 
 from __future__ import annotations
@@ -32,61 +39,81 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr nobr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements that are never part of an article.
-NEVER = frozenset("head nav footer aside form script style noscript template svg math iframe object embed canvas audio video button select datalist dialog menu map title textarea header".split())
+LEAVES = HEADINGS | frozenset("p ul ol dl table blockquote pre li figure".split())
+#: Elements that are never shown as text of a page.
+UNSHOWN = frozenset("head script style noscript template svg math iframe object embed canvas audio video button select datalist dialog menu map title textarea".split())
+#: Elements, roles, and words of class names and ids that declare a part to be something else than an article.
+DECLARING = frozenset("nav footer aside header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tooltip".split())
-#: Words of class names and ids that declare such parts.
 WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertisements advertising adsense adslot banner sponsor sponsored sponsors promo promos promotion promoted
     nav navbar navigation navi menu menus breadcrumb breadcrumbs crumbs topbar masthead header footer sidebar sidenav aside rail
-    comment comments commentlist disqus respond replies discussion reviews cookie cookies consent gdpr notice notices alert alerts popup modal overlay
+    cookie cookies consent gdpr notice notices alert alerts popup modal overlay
     newsletter subscribe subscription signup signin login register paywall share sharing social sharebar follow related recommended recommendations outbrain taboola
     pagination pager toolbar widget widgets search searchbox form copyright legal disclaimer skip hidden""".split()
 )
 REMARKS = frozenset("comment comments commentlist disqus respond replies discussion reviews".split())
-#: An open element on the left is closed by a start tag on the right.
+#: An open element on the right is closed by a start tag on the left; what the search for it passes besides.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"},
 }
-BARRIERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
-#: Share of the content that a container must hold to be entered; smoothing of neighbouring paths; threshold in standard deviations.
-DESCEND, SMOOTH, LAMBDA = 0.75, (0.25, 0.5, 0.25), 0.5
+PASSED = frozenset(("p", "div"))
+#: Smoothing of neighbouring paths; threshold in standard deviations; what the markup makes of a score, for parts declared
+#: to be something else and for article elements; share of the weight that a child needs to be entered.
+SMOOTH, LAMBDA, PRIOR, BOOST, DESCEND = (0.25, 0.5, 0.25), 0.5, 0.2, 100.0, 0.75
 
 
 class Node:
-    __slots__ = ("tag", "path", "up", "drop", "weak", "article", "length", "content", "down", "heads")
-
-    def __init__(self, tag: str, up: Node | None, label: str):
-        self.tag, self.up, self.path = tag, up, (up.path + "/" + label if up else label)
-        self.drop = self.weak = self.article = False
-        self.length = self.content = 0
-        self.down: list[Node] = []
-        self.heads = False
-        if up:
-            up.down.append(self)
-
-
-def _declared(tag: str, attributes: str) -> tuple[bool, bool, str]:
-    """Dropped for certain; dropped unless it turns out to hold the article; label for the path."""
-    if not attributes or attributes.isspace():
-        return tag in NEVER, False, tag
-    found = {}
+    __slots__ = ("tag", "up", "path", "hard", "declared", "remark", "article", "length", "weight", "heads", "holds", "inside", "part", "prior")
+
+    def __init__(self, tag: str, up: Node | None, path: int):
+        self.tag, self.up, self.path = tag, up, path
+        self.hard = self.declared = self.remark = self.article = self.heads = self.holds = self.inside = False
+        self.length, self.weight = 0, 0.0
+        self.part: Node | None = None
+        self.prior = 1.0
+
+
+class Page:
+    """Nodes in page order, so that a parent comes before its children; blocks; paths as (parent path, label)."""
+
+    def __init__(self) -> None:
+        self.nodes = [Node("", None, 0)]
+        self.blocks: list[tuple[Node, str, int]] = []  # element, text with single spaces, characters in links
+        self.paths: dict[tuple[int, str], int] = {}
+
+    def node(self, tag: str, up: Node, label: str) -> Node:
+        node = Node(tag, up, self.paths.setdefault((up.path, label), len(self.paths) + 1))
+        self.nodes.append(node)
+        return node
+
+
+def _declare(node: Node, attributes: str) -> None:
+    """What the markup says of an element."""
+    tag, found = node.tag, {}
     for m in ATTRIBUTE.finditer(attributes):
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-    names = found.get("class", "") + " " + found.get("id", "")
-    words = {w.lower() for w in WORD.findall(names)}
-    sure = tag in NEVER or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("role", "").lower() in ROLES
-    if tag in ("article", "main", "body", "html"):
-        return "hidden" in found, bool(tag == "article" and words & REMARKS), tag
-    return sure, not sure and bool(words & WORDS), tag + "." + ".".join(found.get("class", "").split()[:3]) if found.get("class") else tag
-
-
-def parse(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
-    """The tree of block elements, and blocks in page order: element, text with single spaces, characters in links."""
-    root = Node("", None, "")
-    stack: list[tuple[str, Node]] = [("", root)]
-    blocks: list[tuple[Node, str, int]] = []
+    words = {w.lower() for w in WORD.findall(found.get("class", "") + " " + found.get("id", ""))}
+    unseen = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    node.hard = tag in UNSHOWN or unseen and tag not in ("main", "body", "html") or "hidden" in found
+    node.remark = bool(words & REMARKS) and tag not in ("main", "body", "html")
+    node.article = tag in ("article", "main") and not node.remark
+    if not node.article and tag not in ("body", "html"):
+        node.declared = tag in DECLARING or found.get("role", "").lower() in ROLES or bool(words & WORDS)
+
+
+def _label(tag: str, attributes: str) -> str:
+    m = re.search(r"""(?i)(?<![^\s"'])class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", attributes) if attributes else None
+    names = (m[1] or m[2] or m[3] or "").split()[:3] if m else ()
+    return ".".join((tag, *names))
+
+
+def parse(html: str) -> Page:
+    page = Page()
+    stack: list[tuple[str, Node]] = [("", page.nodes[0])]
+    open_at: dict[str, list[int]] = {}  # places in the stack, by tag
+    block_at = [0]  # places of elements that are no inline ones
     buffer: list[str] = []
     links = in_link = 0
 
@@ -95,7 +122,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                blocks.append((stack[-1][1], text, links))
+                page.blocks.append((stack[-1][1], text, links))
             buffer.clear()
         links = 0
 
@@ -107,15 +134,25 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
             if in_link:
                 links += len(data)
 
+    def push(tag: str, node: Node) -> None:
+        nonlocal in_link
+        in_link += tag == "a"
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            block_at.append(len(stack))
+        stack.append((tag, node))
+
     def close(at: int) -> None:
         """Closes the elements from stack[at] on."""
         nonlocal in_link
-        if any(tag not in INLINE for tag, _ in stack[at:]):
+        if block_at[-1] >= at or stack[at][1] is not stack[at - 1][1]:
             flush()
-        elif stack[at][1] is not stack[at - 1][1]:  # an inline element that was declared to be something else
-            flush()
-        in_link = max(0, in_link - sum(tag == "a" for tag, _ in stack[at:]))
-        del stack[at:]
+        while len(stack) > at:
+            tag, _ = stack.pop()
+            open_at[tag].pop()
+            in_link -= tag == "a"
+        while block_at[-1] >= at:
+            block_at.pop()
 
     pos, n = 0, len(html)
     while pos < n:
@@ -127,12 +164,9 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
         pos = m.end()
         if m[1]:
             tag = m[1].lower()
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at][0] == tag:
-                    close(at)
-                    break
-                if tag in INLINE and stack[at][0] not in INLINE:
-                    break
+            where = open_at.get(tag)
+            if where and (tag not in INLINE or where[-1] > block_at[-1]):
+                close(where[-1])
             continue
         tag, attributes = (m[2] or m[4] or "").lower(), m[3] or m[5] or ""
         if not tag:
@@ -149,153 +183,162 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str, int]]]:
             pos = end.end() if end else n
             continue
         if tag not in INLINE:  # a block closes an open paragraph, an item its forerunner
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at][0] == "p" or stack[at][0] in CLOSES.get(tag, ()):
-                    close(at)
-                    break
-                if stack[at][0] in BARRIERS.get(tag, ()) or stack[at][0] in ("table", "article", "main", "body", "div", "section") and stack[at][0] != tag:
-                    break
-        sure, weak, label = _declared(tag, attributes)
-        if tag in INLINE and not sure and not weak:
-            in_link += tag == "a"
-            stack.append((tag, stack[-1][1]))
-        else:
-            if attributes.rstrip().endswith("/") and tag not in HEADINGS and tag in ("svg", "path"):
-                continue
-            flush()
-            node = Node(tag, stack[-1][1], label)
-            node.drop, node.weak, node.article = sure, weak, tag in ("article", "main") and not weak
-            in_link += tag == "a"
-            stack.append((tag, node))
+            closes = CLOSES.get(tag, ())
+            if closes:
+                for at in reversed(block_at):
+                    if stack[at][0] in closes:
+                        close(at)
+                        break
+                    if stack[at][0] not in PASSED:
+                        break
+            if stack[block_at[-1]][0] == "p":
+                close(block_at[-1])
+        if attributes.rstrip().endswith("/") and tag in ("svg", "path"):
+            continue
+        shown = attributes and not attributes.isspace()
+        node = Node(tag, stack[-1][1], 0)
+        if shown:
+            _declare(node, attributes)
+        elif tag not in INLINE:
+            node.hard, node.declared, node.article = tag in UNSHOWN, tag in DECLARING, tag in ("article", "main")
+        if tag in INLINE and not (node.hard or node.declared or node.remark):
+            push(tag, stack[-1][1])
+            continue
+        flush()
+        own = page.node(tag, stack[-1][1], _label(tag, attributes) if shown else tag)
+        own.hard, own.declared, own.remark, own.article = node.hard, node.declared, node.remark, node.article
+        push(tag, own)
     flush()
-    return root, blocks
+    return page
 
 
-def _settle(root: Node, blocks: list[tuple[Node, str, int]]) -> None:
-    """Decides on declared parts: one that holds an article, or most of the page's text, is a wrapper and stays."""
-    order, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        order.append(node)
-        todo += node.down
-    for node, text, _ in blocks:
-        node.length += len(text)
-        node.heads |= node.tag in ("h1", "h2")
-    holds: dict[int, bool] = {}
-    for node in reversed(order):
-        holds[id(node)] = any(holds[id(x)] or x.article for x in node.down)
-        node.heads |= any(x.heads for x in node.down)
-        node.length += sum(x.length for x in node.down)
-    whole = root.length - sum(x.length for x in order if x.drop and x.tag != "form")
-    for node in order:
-        if node.weak:
-            remarks = bool({w.lower() for w in WORD.findall(node.path.rpartition("/")[2])} & REMARKS) or node.tag == "article"
-            node.drop |= not (holds[id(node)] or not remarks and node.heads and node.length > 0.5 * whole)
-        elif node.tag == "form" and node.drop:
-            node.drop = not (holds[id(node)] or node.heads)
-        elif node.tag == "header" and node.drop and holds[id(node)]:
-            node.drop = False
-
-
-def _scores(blocks: list[tuple[Node, str, int]]) -> dict[str, float]:
-    """Smoothed and fused ratio of every path, in page order."""
-    paths: dict[str, list[int]] = {}
+def _scores(blocks: list[tuple[Node, str, int]], parents: dict[int, int]) -> dict[int, float]:
+    """Smoothed and fused ratio of every path: text outside links and punctuation, for each node of the path.
+
+    Neighbours are the paths of the same parent, in page order; declared parts and others are no neighbours.
+    """
+    sums: dict[int, list[int]] = {}
+    families: dict[tuple[int, bool], list[int]] = {}
     for node, text, links in blocks:
-        got = paths.setdefault(node.path, [0, 0, 0])
+        got = sums.get(node.path)
+        if got is None:
+            got = sums[node.path] = [0, 0, 0]
+            families.setdefault((parents.get(node.path, -1), node.part is None), []).append(node.path)
         got[0] += max(0, len(text) - links)
         got[1] += len(PUNCTUATION.findall(text))
         got[2] += 1
-
-    def smooth(x: list[float]) -> list[float]:
-        out = []
-        for i in range(len(x)):
-            near = [(w, x[i + d]) for d, w in zip((-1, 0, 1), SMOOTH, strict=True) if 0 <= i + d < len(x)]
-            out.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
-        return out
-
-    lengths, marks = (smooth([got[i] / got[2] for got in paths.values()]) for i in (0, 1))
-    own = [got[0] for got in paths.values()]
-    return {p: (a * (1 + b)) if t else 0.0 for p, a, b, t in zip(paths, lengths, marks, own, strict=True)}
+    out = {}
+    for paths in families.values():
+        ratios = [(sums[p][0] / sums[p][2], sums[p][1] / sums[p][2]) for p in paths]
+        for i, p in enumerate(paths):
+            near = [(w, ratios[i + d]) for d, w in zip((-1, 0, 1), SMOOTH, strict=True) if 0 <= i + d < len(paths)]
+            whole = sum(w for w, _ in near)
+            length, marks = (sum(w * r[k] for w, r in near) / whole for k in (0, 1))
+            out[p] = length * (1 + marks) if sums[p][0] else 0.0
+    return out
+
+
+def _settle(page: Page) -> list[tuple[Node, str, int]]:
+    """Wrappers lose their declarations; the blocks that are not out by markup alone."""
+    for node, text, _ in page.blocks:
+        node.length += len(text)
+        node.heads |= node.tag in ("h1", "h2")
+    for node in reversed(page.nodes[1:]):
+        up = node.up
+        up.length += node.length
+        up.heads |= node.heads
+        up.holds |= node.holds or node.article
+    whole = page.nodes[0].length - sum(x.length for x in page.nodes if x.declared and x.tag in DECLARING and not x.holds)
+    for node in page.nodes[1:]:
+        if node.remark:
+            node.hard |= not node.holds
+        elif node.tag == "form":
+            node.hard |= not (node.holds or node.heads)
+        elif node.declared:  # one that holds the article, or most of the text with a heading, is a wrapper
+            node.declared = not (node.holds if node.tag in DECLARING else node.holds or node.heads and node.length > 0.5 * whole)
+        node.hard |= node.up.hard
+        node.part = node.up.part or (node if node.declared else None)
+        node.prior = PRIOR if node.part else BOOST if node.article else node.up.prior
+    return [b for b in page.blocks if not b[0].hard]
 
 
 def extract(html: str) -> str:
-    root, blocks = parse(html)
-    _settle(root, blocks)
-    kept = []
-    for block in blocks:
-        node = block[0]
-        heading = False
-        while node and not node.drop:
-            heading |= node.tag in HEADINGS
-            node = node.up
-        if node is None or heading and node.tag == "header" and _inside_article(node):
-            kept.append(block)
-    if not kept:
+    page = parse(html)
+    blocks = _settle(page)
+    if all(node.part for node, _, _ in blocks):  # nothing but menus and the like, or nothing
         return ""
-    scores = _scores(kept)
-    mean = sum(scores.values()) / len(scores)
-    limit = LAMBDA * (sum((s - mean) ** 2 for s in scores.values()) / len(scores)) ** 0.5
-    content = [(node, len(text)) for node, text, _ in kept if scores[node.path] >= limit and scores[node.path] > 0]
-    for node, length in content:
-        while node:
-            node.content += length
-            node = node.up
-    region = _region(root)
-    if region.article:
-        chosen = [b for b in kept if _within(b[0], region)]
-    else:
-        parents = {id(node.up) for node, _ in content}
-        chosen = [b for b in kept if _within(b[0], region) and (not content or scores[b[0].path] >= limit or id(b[0].up) in parents and not _menu(b))]
-    return "\n".join(text for _, text, _ in chosen)
-
-
-def _inside_article(node: Node | None) -> bool:
-    while node:
-        if node.article:
-            return True
-        node = node.up
-    return False
-
-
-def _within(node: Node | None, region: Node) -> bool:
-    while node:
-        if node is region:
+    parents = {own: up for (up, _), own in page.paths.items()}
+    scores = _scores(blocks, parents)
+    weights: dict[int, list[float]] = {}  # of a path: score and prior together, block by block
+    for node, _, _ in blocks:
+        weights.setdefault(node.path, []).append(scores[node.path] * node.prior)
+    weighed = {p: sum(own) / len(own) for p, own in weights.items()}
+    mean = sum(weighed.values()) / len(weighed)
+    limit = LAMBDA * (sum((x - mean) ** 2 for x in weighed.values()) / len(weighed)) ** 0.5
+    good_paths = {p for p, x in weighed.items() if x >= limit and x > 0}
+    content = [b for b in blocks if b[0].path in good_paths]
+    for node, _, _ in content:
+        node.weight += scores[node.path] * node.prior
+    for node in reversed(page.nodes[1:]):
+        node.up.weight += node.weight
+    region = _region(page)
+    region.inside = True
+    for node in page.nodes[1:]:
+        node.inside |= node.up.inside
+    near = [b for b in blocks if b[0].inside]
+
+    # declared parts of the article: those whose ratio, less by the prior, is below that of the rest
+    parts: dict[int, list[tuple[float, int]]] = {}
+    for node, text, _ in near:
+        parts.setdefault(id(node.part) if node.part and node.part.up.inside else 0, []).append((scores[node.path], len(text)))
+    ratio = {p: sum(x * n for x, n in own) / sum(n for _, n in own) for p, own in parts.items()}
+    gone = {p for p, x in ratio.items() if p and x * PRIOR < ratio.get(0, 0.0)}
+    titles = lambda b: b[0].part.tag == "header" and _in_heading(b[0]) and (region.article or b[0].part.up.article)
+    kept = [b for b in near if not (b[0].part and id(b[0].part) in gone) or titles(b)]
+    if region.article or not content:
+        return "\n".join(text for _, text, _ in kept)
+
+    # no element says that it is the article: what stands among content, or beside it, unless it is all links
+    good = [i for i, b in enumerate(kept) if b[0].path in good_paths]
+    first, last = (good[0], good[-1]) if good else (0, -1)
+    beside = {parents.get(kept[i][0].path) for i in good} | {id(kept[i][0].up) for i in good}
+    chosen = [
+        text
+        for i, (node, text, links) in enumerate(kept)
+        if node.path in good_paths or (first < i < last or parents.get(node.path) in beside or id(node.up) in beside) and links < 0.8 * len(text)
+    ]
+    return "\n".join(chosen)
+
+
+def _in_heading(node: Node) -> bool:
+    """At or right under a heading, without leaving the declared part."""
+    part = node.part
+    while node is not part:
+        if node.tag in HEADINGS:
             return True
         node = node.up
     return False
 
 
-def _menu(block: tuple[Node, str, int]) -> bool:
-    return block[2] >= 0.8 * len(block[1])
-
-
-def _region(root: Node) -> Node:
-    """Down from the root, into an article that leads its rivals or the child that holds most of the content."""
-    node = root
-    while True:
-        live = [x for x in node.down if not x.drop]
-        articles = sorted((x for x in live if x.article), key=lambda x: -x.content)
-        if articles and articles[0].content >= 0.5 * node.content and articles[0].content > 0:
-            node = articles[0]
-            if node.tag == "article":
-                return node
+def _region(page: Page) -> Node:
+    """Down from the root, into the article or child that has most of the weight."""
+    down: dict[int, Node] = {}
+    article_below: set[int] = set()
+    for node in reversed(page.nodes[1:]):
+        if node.hard or not node.weight:
             continue
-        best = max(live, key=lambda x: x.content, default=None)
-        if best is None or not best.content or node.article and not _holds_article(best):
-            return node
-        if best.content < DESCEND * node.content and not _holds_article(best) or best.tag in HEADINGS or best.tag in ("p", "ul", "ol", "dl", "table", "blockquote", "pre", "li", "figure"):
-            return node
+        up = id(node.up)
+        if up not in down or node.weight >= down[up].weight:
+            down[up] = node
+        if node.article or id(node) in article_below:
+            article_below.add(up)
+    node = page.nodes[0]
+    while node.tag != "article":
+        best = down.get(id(node))
+        if best is None or best.tag in LEAVES or best.weight < DESCEND * node.weight or node.article and id(best) not in article_below and not best.article:
+            break
         node = best
-
-
-def _holds_article(node: Node) -> bool:
-    todo = [node]
-    while todo:
-        x = todo.pop()
-        if x.article and not x.drop and x.content:
-            return True
-        todo += x.down
-    return False
+    return node
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

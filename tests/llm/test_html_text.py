@@ -1,5 +1,12 @@
+import os
+import re
+import time
+from collections import Counter
+
+import pyarrow.parquet as pq
 import pytest
 
+from lisible.llm import html_text
 from lisible.llm.html_text import extract, main_text
 
 P1 = "Le premier paragraphe de l'article est assez long, et il contient de la ponctuation; beaucoup."
@@ -47,3 +54,67 @@ def test_rows(spark):
     want = PAGES["article"][1]
     assert [tuple(r) for r in main_text(df).collect()] == [(1, "u", want, len(want))] * 2 + [(None, None, "", 0), (3, "v", "", 0)]
     assert main_text(df.limit(0)).count() == 0
+
+
+def flattened(html: str) -> str:
+    """The page without anything that says what its parts are."""
+    html = re.sub(r"<(/?)(?:article|nav|footer|aside|header|main|section)\b[^>]*>", r"<\1div>", html)
+    return re.sub(r' (?:class|id|role)="[^"]*"', "", html)
+
+
+FOLDER = "/root/testdata/sf0.001/pages.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(FOLDER), reason="driver tables are absent")
+def test_ratios_find_the_article_without_markup(monkeypatch):
+    """Labels: the blocks inside <article>. Ratios alone find them where every part is a plain div; equal scores do not."""
+    pages = [r["html"] for r in pq.read_table(FOLDER, columns=["html"]).to_pylist()]
+    labels = [extract(re.search(r"<article>.*</article>", h, re.S)[0]) for h in pages]
+    assert sum(extract(h) == want for h, want in zip(pages, labels, strict=True)) == len(pages)
+
+    def measure():
+        hit = got = all_ = 0
+        for h, want in zip(pages, labels, strict=True):
+            a, b = Counter(extract(flattened(h)).split("\n")), Counter(want.split("\n"))
+            size = lambda c: sum(len(k) * n for k, n in c.items())
+            hit, got, all_ = hit + size(a & b), got + size(a), all_ + size(b)
+        return hit / got, hit / all_
+
+    precision, recall = measure()
+    assert precision > 0.98 and recall > 0.98
+    monkeypatch.setattr(html_text, "_scores", lambda blocks, parents: {node.path: 1.0 for node, _, _ in blocks})
+    assert measure()[0] < precision - 0.03
+
+
+@pytest.mark.parametrize("tag", ["div", "font", "ul><li"])
+def test_deep_pages_take_linear_time(tag):
+    began = time.perf_counter()
+    extract(f"<{tag}>" * 50_000 + P1 + "</p></x>" * 1000)
+    extract(f"<{tag}>some text, here." * 20_000)
+    assert time.perf_counter() - began < 20
+
+
+def plain_scores(html):
+    """Path scores by walking up from every block, path strings and all."""
+    page = html_text.parse(html)
+    blocks = html_text._settle(page)
+    names = {0: ()} | {}
+    for (up, label), own in page.paths.items():
+        names[own] = (*names[up], label)
+    out = {}
+    for family in {(names[b[0].path][:-1], b[0].part is None) for b in blocks}:
+        own = list(dict.fromkeys(names[b[0].path] for b in blocks if (names[b[0].path][:-1], b[0].part is None) == family))
+        rows = {p: [(t, k) for node, t, k in blocks if names[node.path] == p] for p in own}
+        length = [sum(max(0, len(t) - k) for t, k in rows[p]) / len(rows[p]) for p in own]
+        marks = [sum(c in ".,;:!?…。、，！？；：«»\"“”()" for t, _ in rows[p] for c in t) / len(rows[p]) for p in own]
+        for i, p in enumerate(own):
+            w = [0.5 if j == i else 0.25 if abs(i - j) == 1 else 0 for j in range(len(own))]
+            mean = lambda x: sum(a * b for a, b in zip(w, x, strict=True)) / sum(w)
+            out[p] = mean(length) * (1 + mean(marks)) if length[i] else 0.0
+    return {names[p]: s for p, s in html_text._scores(blocks, {own: up for (up, _), own in page.paths.items()}).items()}, out
+
+
+@pytest.mark.parametrize("name", [n for n in PAGES if n not in ("empty", "no text")])
+def test_scores_equal_brute_force(name):
+    got, want = plain_scores(PAGES[name][0])
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in got)
