@@ -1,8 +1,9 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
 Four kinds are exact: e-mail addresses, IP addresses, card numbers and phone numbers of fixed patterns; these spans
-always stay. Beside them there are looser candidates (masked addresses, national phone numbers, short card numbers,
-IBANs, identity numbers, names after a title). Regular-expression, gazetteer and context labelers vote on every
+always stay. Beside them there are looser candidates (masked addresses, national phone numbers, numbers of a card's
+length that the base rule drops, quads with parts over 255, IBANs, identity numbers, keys and tokens, names after a
+title); many of these are none, and telling them apart is the method's work. Regular-expression, gazetteer and context labelers vote on every
 candidate; expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is; its
 posteriors train a naive Bayes classifier over features of the span, which decides on the looser candidates.
 
@@ -23,7 +24,7 @@ from .common import materialise
 
 # The base kinds, in the order of the digest, and their patterns. Possessive where nothing can follow
 # that a shorter match would need.
-KINDS = ("email", "ip", "card", "phone", "iban", "name", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "name", "ssn", "secret")
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -37,6 +38,7 @@ LOOSE = (
     ("phone", r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    ("secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"),
     ("name", r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\.? \p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)?"),
 )
 # Gazetteers.
@@ -46,31 +48,44 @@ CALLING = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 #: Words before a span that speak for its kind, and words that speak against any.
 CUES = {
     "email": "mail|contact|write to|schreib|courriel|correo", "ip": r"\bip\b|host|server|address|adresse", "card": "card|visa|mastercard|amex|carte|karte|tarjeta|credit",
+    "secret": "token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential",
     "phone": "phone|tel|call|fax|mobile|mobil|appel|anruf|llam", "iban": "iban|account|konto|compte|cuenta|bank", "ssn": "ssn|social security|identity|ausweis",
 }
-AGAINST = r"(?:version|v|vol|chapter|section|page|pp|isbn|issn|doi|no|nr|figure|table|kapitel|chapitre|capítulo)[.: #]*$"
-CONTEXT, EM_ROUNDS, SMOOTHING, LABELERS = 40, 40, 1.0, 6
+#: What some issuers begin their keys with.
+KEY_FORMS = "^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_.*|xox[abpr]-.*|sk-.*|eyJ.*)$"
+AGAINST = r"(?:version|commit|checksum|revision|order|invoice|v|vol|chapter|section|page|pp|isbn|issn|doi|no|nr|figure|table|kapitel|chapitre|capítulo)[.: #]*$"
+CONTEXT, EM_ROUNDS, SMOOTHING, LABELERS, CHUNK = 40, 40, 1.0, 6, 64
 #: Spans' worth of smoothing towards a feature value's overall share.
 STRENGTH = 4.0
 
 
 def located(text: Column, pattern: str, found: Column) -> Column:
-    """array<struct<m, start, end, before, after>> of the matches `found` of a pattern, offsets in code points."""
+    """array<struct<m, start, end, before, after>> of the matches `found` of a pattern, offsets in code points.
+
+    Offsets are sums over the CHUNK matches at most before it in its chunk and over the chunks before, so the work for
+    each match has a bound and no array grows match by match.
+    """
     gaps = F.split(text, pattern, -1)
     whole = F.transform(
         F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("gap"), F.slice(gaps, 2, F.size(found)).alias("next")),
         lambda x: F.struct(x["m"].alias("m"), F.length(x["gap"]).cast("long").alias("skip"), F.length(x["m"]).cast("long").alias("size"), F.right(x["gap"], F.lit(CONTEXT)).alias("before"), F.left(x["next"], F.lit(1)).alias("after")),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<m:string,start:bigint,end:bigint,before:string,after:string>>").alias("out"))
-    ran = F.aggregate(
-        whole,
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["skip"] + x["size"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), (acc["at"] + x["skip"]).alias("start"), (acc["at"] + x["skip"] + x["size"]).alias("end"), x["before"].alias("before"), x["after"].alias("after")))).alias("out"),
-        ),
-    )
-    return ran["out"]
+    total = lambda sizes: F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)
+    once = lambda value, use: F.transform(F.array(value), use)[0]  # the value is made once, not in each step of a lambda
+
+    def offsets(own: Column) -> Column:
+        sized = F.struct(own.alias("own"), F.transform(own, lambda x: x["skip"] + x["size"]).alias("sizes"))
+        chunks = lambda t: F.transform(F.sequence(F.lit(0), F.floor((F.size(t["sizes"]) - 1) / CHUNK).cast("int")), lambda c: total(F.slice(t["sizes"], c * CHUNK + 1, F.lit(CHUNK))))
+        based = lambda t: F.struct(t["own"].alias("own"), t["sizes"].alias("sizes"), once(chunks(t), lambda sums: F.transform(sums, lambda _, c: total(F.slice(sums, 1, c)))).alias("base"))
+
+        def at(t: Column) -> Column:
+            start = lambda x, i: F.get(t["base"], F.floor(i / CHUNK).cast("int")) + total(F.slice(t["sizes"], F.floor(i / CHUNK).cast("int") * CHUNK + 1, i % CHUNK)) + x["skip"]
+            placed = F.transform(t["own"], lambda x, i: F.struct(x["m"].alias("m"), start(x, i).alias("start"), x["size"].alias("size"), x["before"].alias("before"), x["after"].alias("after")))
+            return F.transform(placed, lambda x: F.struct(x["m"].alias("m"), x["start"].alias("start"), (x["start"] + x["size"]).alias("end"), x["before"].alias("before"), x["after"].alias("after")))
+
+        return once(sized, lambda t: once(based(t), at))
+
+    return once(whole, offsets)
 
 
 def luhn(digits: Column) -> Column:
@@ -101,16 +116,17 @@ def _votes(kind: str, base: bool, x: Column) -> Column:
     veto = lambda condition, other: F.when(condition, no).otherwise(other)
     strict = {
         "card": vote(F.length(digits).between(13, 19) & luhn(digits)), "iban": vote(F.length(F.regexp_replace(m, " ", "")).between(15, 34)),
-        "ssn": veto(m.rlike("^(?:000|666|9)|-00-|-0000$"), yes),
+        "ssn": veto(m.rlike("^(?:000|666|9)|-00-|-0000$"), yes), "secret": vote(F.length(F.regexp_replace(m, "[^0-9]", "")) >= 4), "ip": no, "phone": vote(F.length(digits).between(9, 12)),
     }.get(kind, none)
     gazetteer = {
         "email": vote(m.rlike(rf"(?i)(?:\.|\W)(?:{ENDINGS})$")), "ip": veto(m.rlike(r"^(?:0|22[4-9]|2[34][0-9]|25[0-5])\."), yes), "card": vote(digits.rlike("^(?:3[47]|4|5[1-5]|2[2-7]|6)")),
-        "phone": vote(digits.rlike(f"^(?:{CALLING})")) if base else veto(digits.rlike("^[01]"), none), "name": vote(m.rlike(rf" (?:{GIVEN})(?: |$)"), none),
+        "phone": vote(digits.rlike(f"^(?:{CALLING})")) if base else veto(digits.rlike("^[01]"), none), "name": vote(m.rlike(rf" (?:{GIVEN})(?: |$)"), none), "secret": vote(m.rlike(KEY_FORMS), none),
     }.get(kind, none)
-    cue = vote(before.rlike(f"(?i)(?:{CUES[kind]})"), none) if kind != "name" else none
-    against = veto(before.rlike("(?i)(?<![a-z])" + AGAINST), none)
+    # a digest may be anything, so a key without a word that says so is voted against; other kinds have forms of their own
+    cue = vote(before.rlike(f"(?i)(?:{CUES[kind]})"), no if kind == "secret" else none) if kind != "name" else none
+    against = veto(before.rlike("(?i)(?<![a-z])" + AGAINST), yes)
     edges = veto(before.rlike(r"[\p{L}\p{N}]$") | after.rlike(r"[\p{L}\p{N}]"), yes)
-    size = vote(F.length(m) <= {"email": 64, "ip": 15, "card": 25, "phone": 24, "name": 40}.get(kind, 42))
+    size = vote(F.length(m) <= {"email": 64, "ip": 15, "card": 25, "phone": 24, "name": 40, "secret": 128}.get(kind, 42))
     return F.array(yes if base else strict, gazetteer, cue, against, edges, size)
 
 
@@ -143,9 +159,12 @@ def candidates(df: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
         voted = F.transform(own, lambda x: F.struct(x["m"].alias("m"), x["start"].alias("start"), x["end"].alias("end"), x["before"].alias("before"), x["after"].alias("after"), _votes(kind, base, x).alias("votes")))
         return F.transform(voted, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["votes"].alias("votes"), _features(kind, x).alias("features")))
 
-    short_card = lambda x: F.length(F.regexp_replace(x["m"], "[^0-9]", "")).between(13, 15)
+    # numbers of a card's length that are none by the base rule, and quads with parts over 255, are candidates like the rest
+    n_digits = lambda x: F.length(F.regexp_replace(x["m"], "[^0-9]", ""))
+    other_card = lambda x: n_digits(x).between(13, 19) & ~valid("card", x["m"])
+    other_ip = lambda x: ~valid("ip", x["m"])
     base = F.concat(*(spans(F.filter(f"s{i}", (lambda k: lambda x: valid(k, x["m"]))(k)), k, True) for i, k in enumerate(BASE)))
-    loose = F.concat(spans(F.filter(f"s{list(BASE).index('card')}", short_card), "card", False), *(spans(F.col(f"s{len(BASE) + i}"), k, False) for i, (k, _) in enumerate(LOOSE)))
+    loose = F.concat(spans(F.filter(f"s{list(BASE).index('ip')}", other_ip), "ip", False), spans(F.filter(f"s{list(BASE).index('card')}", other_card), "card", False), *(spans(F.col(f"s{len(BASE) + i}"), k, False) for i, (k, _) in enumerate(LOOSE)))
     out = out.select(*(c for c in out.columns[: len(keep)]), base.alias("base"), loose.alias("loose"))
     # a looser span inside or across a base span adds nothing
     apart = F.filter("loose", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
@@ -202,7 +221,7 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row.
 
     spans lists base spans and what the classifier adds, `kind:start:end` by kind (email, ip, card, phone, iban, name,
-    ssn), then start; offsets count code points. Null and empty texts have no spans and the digest of the empty
+    ssn, secret), then start; offsets count code points. Null and empty texts have no spans and the digest of the empty
     string; null ids stay null; repeated rows give repeated rows; an empty table gives an empty one; other columns are
     not read. Without any candidate there is nothing to learn and nothing is added.
     """
