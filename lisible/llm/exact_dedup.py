@@ -7,7 +7,8 @@ grouped; the others are alone for certain and pass straight through.
 
 The filter has 16 bits a row up to FILTER_BITS_MAX, a fixed size that can be broadcast whatever the corpus. A corpus
 beyond it fills the filter more, so that more rows are shuffled; results are the same. What is shuffled are hashes and
-ids, never texts, except in drop_exact_duplicates, where rows that may be repeated travel whole.
+ids, some fifty bytes a row at worst, never texts, except that drop_exact_duplicates verifies the one row of a group
+that stays.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, free_column, materialise
+from . import bloom
+from .common import SPACE_CLASS, materialise
 
 #: Bits a row, at least and at most so many bits in all (2^27 bits are 16 MB), probes a hash, pieces for merging.
 BITS_A_ROW, FILTER_BITS_MIN, FILTER_BITS_MAX, PROBES, PIECES = 16, 1 << 16, 1 << 27, 4, 64
@@ -46,15 +48,21 @@ def repeated_bits(keys: DataFrame, bits: int) -> np.ndarray:
     width = bits // PIECES
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             slots, counts = np.unique(_slots(batch.column(0), bits), return_counts=True)
-            twice[slots[(counts > 1) | once[slots]]] = True
-            once[slots] = True
+            marks, place = np.left_shift(1, 7 - (slots & 7)).astype(np.uint8), slots >> 3
+            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            place, hit = place[first], np.bitwise_or.reduceat(marks, first)
+            again = np.bitwise_or.reduceat(np.where(counts > 1, marks, 0).astype(np.uint8), first)
+            twice[place] |= again | once[place] & hit
+            once[place] |= hit
         for p in range(PIECES):
-            own = slice(p * width, (p + 1) * width)
+            own = slice(p * width // 8, (p + 1) * width // 8)
             if once[own].any():
-                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([np.packbits(once[own]).tobytes()], pa.binary()), pa.array([np.packbits(twice[own]).tobytes()], pa.binary())], ["piece", "once", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([once[own].tobytes()], pa.binary()), pa.array([twice[own].tobytes()], pa.binary())], ["piece", "once", "twice"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: dict[int, list[np.ndarray]] = {}
@@ -114,9 +122,19 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that exact_duplicates keeps, all columns; rows that cannot be repeated are not shuffled."""
-    hash_col, maybe_col = free_column(df, "text_hash"), free_column(df, "maybe_repeated")
+    """The rows of df that exact_duplicates keeps, all columns, whatever their types and names.
+
+    Which rows stay is settled by hashes and ids alone. A row whose hash may be repeated is then asked of a filter of
+    those that stay: one that is not there goes on the spot, so of a group of copies one row is shuffled, to be
+    verified, and never the texts of the others. Null texts equal empty ones, null ids come last, of rows equal in id and
+    text one stays, the first by the columns that have an order; an empty table gives an empty one.
+    """
+    names = df.columns  # whatever df calls its columns, here they are c0, c1, …
+    df = df.toDF(*(f"c{i}" for i in range(len(names))))
+    id_col, text_col = (df.columns[names.index(c)] for c in (id_col, text_col))
+    hash_col, maybe_col, pair_col, turn = "text_hash", "maybe_repeated", "hash_and_id", "turn"
     hashed = df.withColumn(hash_col, text_hash(F.col(text_col)))
+    pair = lambda h, i: F.xxhash64(F.col(h), F.col(i).isNull(), F.col(i))
     keys = materialise(hashed.select(F.col(id_col).alias("id"), F.col(hash_col).alias("hash")), "dedup-keys")
     maybe = _tester(keys)
 
@@ -124,13 +142,19 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     def may_repeat(hashes: pa.Array) -> pa.Array:
         return maybe(hashes)
 
+    doubtful = materialise(keys.where(may_repeat(F.col("hash"))), "dedup-doubtful")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first")
+    stay = materialise(doubtful.groupBy("hash").agg(first).select(F.col("hash").alias("of_hash"), F.col("first.id").alias("of_id")), "dedup-stay")
+    known = bloom.build(stay.select(pair("of_hash", "of_id").alias("pair")))
+
+    @F.arrow_udf("boolean")
+    def may_stay(pairs: pa.Array) -> pa.Array:
+        return pa.array(known(pairs.to_numpy(zero_copy_only=False).view(np.uint64)))
+
     tested = hashed.withColumn(maybe_col, may_repeat(F.col(hash_col)))
     alone = tested.where(~F.col(maybe_col)).select(*df.columns)
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first")
-    firsts = materialise(keys.where(may_repeat(F.col("hash"))).groupBy(F.col("hash").alias("of_hash")).agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select("of_hash", F.col("first.id").alias("of_id")), "dedup-firsts")
-    repeated = tested.where(F.col(maybe_col)).join(firsts, F.col(hash_col) == F.col("of_hash"), "left")
-    keepers = repeated.where(F.col("of_hash").isNull() | F.col(id_col).eqNullSafe(F.col("of_id")))
-    turn = free_column(df, "turn")
-    one = Window.partitionBy(hash_col).orderBy(*(F.col(c) for c in df.columns if not c == text_col))
-    kept = keepers.withColumn(turn, F.row_number().over(one)).where(F.col(turn) == 1).select(*df.columns)
-    return alone.union(kept)
+    rest = tested.where(F.col(maybe_col)).withColumn(pair_col, pair(hash_col, id_col)).where(may_stay(F.col(pair_col)))
+    kept = rest.join(stay, (F.col(hash_col) == F.col("of_hash")) & F.col(id_col).eqNullSafe(F.col("of_id")), "left_semi")
+    ordered = [F.col(f.name) for f in df.schema.fields if not f.dataType.simpleString().startswith(("map", "variant")) and "map<" not in f.dataType.simpleString()]
+    one = Window.partitionBy(hash_col, id_col).orderBy(*ordered)
+    return alone.union(kept.withColumn(turn, F.row_number().over(one)).where(F.col(turn) == 1).select(*df.columns)).toDF(*names)

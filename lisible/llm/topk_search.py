@@ -101,17 +101,19 @@ def _exact(vectors: np.ndarray, other: np.ndarray) -> np.dtype:
     return np.dtype(np.float64) if most < 1 << 53 else np.dtype(object)
 
 
-def top_k(df: DataFrame, k: int, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
+def top_k(df: DataFrame, k: int, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, every_row: bool = False) -> DataFrame:
     """query_id, rank (from 1), id, score: for every query the k other rows with the highest inner products.
 
     Components become floor(scale * x) and scores are exact whole numbers; ties go to the smaller id; a query with
     fewer rows beside it gets all of them, one with none has no row here. Rows whose id or vector is null or whose
-    vector holds null or non-finite components take no part; of rows that repeat an id the one with the least vector
-    does. Only vectors of the query's own length compare. An empty table gives an empty one. Components are held to
+    vector holds null or non-finite components take no part. Of rows that repeat an id the one with the least vector
+    takes part; with every_row all do, each a candidate of its own, and a query competes with no row of its id. Only vectors of the query's own length compare. An empty table gives an empty one. Components are held to
     2^62 and scores to the range of a long.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    rows = whole_numbers(df, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v"))
+    rows = whole_numbers(df, id_col, vector_col, scale)
+    if not every_row:
+        rows = rows.groupBy("id").agg(F.min("v").alias("v"))
     rows = materialise(rows.withColumnRenamed("id", id_col).withColumn("asks", is_query).withColumnRenamed(id_col, "id"), "vectors")
     n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
     blocks = max(-(-n // BLOCK_ROWS), min(SOME_BLOCKS, -(-n // LEAST_ROWS)), 1)

@@ -51,3 +51,19 @@ def test_kept_rows(spark):
     assert sorted((r.doc_id, norm(r.text)) for r in got if r.doc_id is not None) == want
     assert [r.text for r in got if r.doc_id is None] == ["only here"]
     assert exact_dedup.drop_exact_duplicates(df.limit(0)).count() == 0
+
+
+def test_any_column_type_and_large_groups(spark, monkeypatch):
+    """Map columns, clashing names, one text shared by a third of the rows, and full filters."""
+    rows = [(i, "the same text" if i % 3 == 0 else f"text {i % 400}", {"k": i}, i) for i in range(3000)] + [(None, "the same text", {"k": 1}, 1), (0, "the same  text", {"k": 2}, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, meta map<string,int>, of_hash int").repartition(6)
+    for most in (1 << 27, 1 << 10):
+        monkeypatch.setattr(exact_dedup, "FILTER_BITS_MAX", most)
+        monkeypatch.setattr(exact_dedup.bloom, "BITS_MAX", most)
+        monkeypatch.setattr(exact_dedup.bloom, "BITS_MIN", 1 << 10)
+        kept = exact_dedup.drop_exact_duplicates(df)
+        want = {}
+        for i, t, _, _ in rows:
+            if i is not None:
+                want.setdefault(re.sub(r"\s+", " ", t), i)
+        assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(want.values())

@@ -61,3 +61,18 @@ def test_threshold_stops_early():
     ids, scores, scored = own.best(-1, np.array([3.0, -2.0, 0.0]), 5)
     want = sorted((-s, i) for i, s in enumerate((x @ [3.0, -2.0, 0.0]).tolist()))[:5]
     assert [(-s, i) for s, i in zip(scores, ids, strict=True)] == want and scored < 2500
+
+
+def test_every_row_is_a_candidate(spark):
+    """Rows that repeat an id count one by one, as in the query's SQL; only rows of the query's own id do not."""
+    import duckdb
+
+    from lisible.llm.queries import OP3_SQL
+
+    rows = [(50, [1.0, 0.5]), (1, [0.5, 0.5]), (1, [0.25, 1.0]), (2, [0.5, 0.5]), (100, [0.5, -0.5]), (None, [1.0, 1.0]), (3, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk_search.top_k(df, 5, F.col("vec_id") % 50 == 0, every_row=True).select("query_id", "rank", "vec_id", "score").collect())
+    con = duckdb.connect()
+    con.sql("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert got == sorted(con.sql(OP3_SQL).fetchall()) and len(got) == 8
