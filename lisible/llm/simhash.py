@@ -187,8 +187,8 @@ WIDE_SHINGLE, WIDE_WORDS, WIDE_TABLES = 5, 4, 64
 #: Shingle sets of Jaccard similarity 0.8 stand at a cosine of 8/9, so 15.2 % of the bits (39 of 256) are expected to
 #: differ, give or take 5.7, and 8.6 of 32 positional bytes to be shared; unrelated texts share one in eight times.
 WIDE_BITS, WIDE_SHARED = 44, 4
-#: Lists up to this size compare all pairs at once; larger ones meet their first member before.
-SMALL_LIST = 16
+#: Lists up to this size compare all pairs at once; in larger ones all meet so many members first.
+SMALL_LIST, PIVOTS = 16, 8
 #: Common shingles: one text in so many is looked at, so many of these hold the shingle, so many shingles at most.
 COMMON_ONE_IN, COMMON_LEAST, COMMON_MOST = 16, 4, 100_000
 _SALTS = np.array([0x0, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7], np.uint64)
@@ -253,6 +253,18 @@ def parities(own: np.ndarray) -> bytes:
     return np.packbits((np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
 
 
+def short_parities(own: np.ndarray) -> tuple[int, int]:
+    """The same over 128 buckets whatever the size of the set, as two longs, to sift pairs where they meet."""
+    packed = np.packbits((np.bincount((own & np.uint64(127)).astype(np.int64), minlength=128) & 1).astype(np.uint8))
+    return tuple(packed.view(np.int64).tolist())
+
+
+def _plausible(n: np.ndarray, m: np.ndarray, *parities: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of pairs of sets with n and m shingles and these short parities, those that sizes and parities do not rule out."""
+    apart = sum(np.bitwise_count(a ^ b).astype(np.int64) for a, b in parities)
+    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * apart <= n + m)
+
+
 def may_be_similar(n: int, a: bytes, m: int, b: bytes) -> bool:
     """Never false for similar sets: they differ in (n + m) / 9 shingles at most, and each changes one parity."""
     if 5 * min(n, m) < 4 * max(n, m):
@@ -288,15 +300,17 @@ def _common_shingles(df: DataFrame, id_col: str, text_col: str) -> np.ndarray:
 
 
 def _described(df: DataFrame, id_col: str, text_col: str, common: np.ndarray) -> DataFrame:
-    """id, node (a name of the shingle set), n, first (its prefix), odd (its parities)."""
+    """id, node (a name of the shingle set), n, first (its prefix), odd (its parities), p and q (its short ones)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()]
             columns = [pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([prefix(s, common).view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parities(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "node", "n", "first", "odd"])
+            short = [short_parities(s) for s in sets]
+            columns += [pa.array([x[i] for x in short], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "node", "n", "first", "odd", "p", "q"])
 
-    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, node long, n long, first array<long>, odd binary")
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, node long, n long, first array<long>, odd binary, p long, q long")
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -319,38 +333,47 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, n) → (key, u, v, n, large): all pairs of a small list; of a large one every member with the first."""
-    for keys, (nodes, n) in _lists(batches):
+    """Rows (key, node, n, p, q) → (key, u, v, n, p, q, large): all plausible pairs of a small list; of a large one every
+    member with the first, large then, and the plausible pairs of all with the next pivots."""
+    for keys, (nodes, n, p, q) in _lists(batches):
         cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
         sizes = np.diff(cut)
-        size = np.repeat(sizes, sizes)
+        size, start = np.repeat(sizes, sizes), np.repeat(cut[:-1], sizes)
         out = []
+
+        def pairs(a: np.ndarray, b: np.ndarray) -> None:
+            ok = _plausible(n[a], n[b], (p[a], p[b]), (q[a], q[b]))  # noqa: B023
+            a, b = a[ok], b[ok]
+            out.append((keys[a], nodes[a], nodes[b], n[a], p[a], q[a], np.zeros(len(a), bool)))  # noqa: B023
+
         for k in range(1, SMALL_LIST):
             at = np.flatnonzero((keys[k:] == keys[:-k]) & (size[k:] <= SMALL_LIST))
             if not len(at):
                 break
-            at = at[5 * np.minimum(n[at], n[at + k]) >= 4 * np.maximum(n[at], n[at + k])]
-            out.append((keys[at], nodes[at + k], nodes[at], n[at + k], np.zeros(len(at), bool)))
+            pairs(at + k, at)
         at = np.flatnonzero(size > SMALL_LIST)
-        out.append((keys[at], nodes[at], nodes[np.repeat(cut[:-1], sizes)[at]], n[at], np.ones(len(at), bool)))
+        out.append((keys[at], nodes[at], nodes[start[at]], n[at], p[at], q[at], np.ones(len(at), bool)))
+        for k in range(1, PIVOTS):
+            later = at[(at - start[at] > k) & (size[at] > k)]
+            pairs(later, start[later] + k)
         columns = [np.concatenate(x) for x in zip(*out, strict=True)]
         if len(columns[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "u", "v", "n", "large"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "u", "v", "n", "p", "q", "large"])
 
 
 def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, n, root) of large lists → (u, v): all pairs whose groups differ and whose sizes allow similarity."""
-    for keys, (nodes, n, root) in _lists(batches):
+    """Rows (key, node, n, root, p, q) of large lists → (u, v): the plausible pairs whose groups differ."""
+    for keys, (nodes, n, root, p, q) in _lists(batches):
         cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            own, m, r = nodes[a:b], n[a:b], root[a:b]
-            if (r == r[0]).all():
+            if (root[a:b] == root[a]).all():
                 continue
-            order = np.argsort(m, kind="stable")
-            own, m, r = own[order], m[order], r[order]
+            order = a + np.argsort(n[a:b], kind="stable")
+            own, m, r, x, y = nodes[order], n[order], root[order], p[order], q[order]
             upto = np.searchsorted(4 * m, 5 * m, "right")
             for i in range(len(own)):
-                v = own[i + 1 : upto[i]][r[i + 1 : upto[i]] != r[i]]
+                rest = slice(i + 1, upto[i])
+                v = own[rest][(r[rest] != r[i]) & _plausible(m[i], m[rest], (x[i], x[rest]), (y[i], y[rest]))]
                 if len(v):
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(v, own[i])), pa.array(np.minimum(v, own[i]))], ["u", "v"])
 
@@ -389,20 +412,20 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Every pair at 0.8 or more is in the list of a shingle that both sets' prefixes hold. Pairs of a list are dropped by
     size and parities where these rule 0.8 out, and otherwise compared shingle by shingle; no other link counts. In a list of over SMALL_LIST
-    members all meet the first one, and then all pairs that no link joins yet. Equal sets are one node. root is the
+    members all meet PIVOTS of them, and then the plausible pairs that no link joins yet. Equal sets are one node. root is the
     smallest id.
     """
     common = _common_shingles(df, id_col, text_col)
     told = materialise(_described(df, id_col, text_col, common), "similar-told")
-    told_once = told.groupBy("node", "n").agg(F.min("id").alias("low"), F.first("first").alias("first"), F.first("odd").alias("odd"))
+    told_once = told.groupBy("node", "n").agg(F.min("id").alias("low"), F.first("first").alias("first"), F.first("odd").alias("odd"), F.first("p").alias("p"), F.first("q").alias("q"))
     nodes = materialise(told_once, "similar-nodes")
-    lists = nodes.select(F.explode("first").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key", "node")
-    met = materialise(lists.mapInArrow(_first_pairs, "key long, u long, v long, n long, large boolean"), "similar-met")
+    lists = nodes.select(F.explode("first").alias("key"), "node", "n", "p", "q").repartition("key").sortWithinPartitions("key", "node")
+    met = materialise(lists.mapInArrow(_first_pairs, "key long, u long, v long, n long, p long, q long, large boolean"), "similar-met")
     links = _verified(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), nodes, df, id_col, text_col)
-    large = met.where("large").select("key", F.col("u").alias("node"), "n")
+    large = met.where("large").select("key", F.col("u").alias("node"), "n", "p", "q")
     if not large.isEmpty():
         roots = connected_components(links, "similar-first")
-        rest = large.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")).repartition("key").sortWithinPartitions("key", "node")
+        rest = large.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"), "p", "q").repartition("key").sortWithinPartitions("key", "node")
         links = links.union(_verified(rest.mapInArrow(_other_pairs, "u long, v long"), nodes, df, id_col, text_col))
     roots = connected_components(links, "similar-nodes")
     rooted = nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
