@@ -261,7 +261,8 @@ def short_parities(own: np.ndarray) -> tuple[int, int]:
 
 def _plausible(n: np.ndarray, m: np.ndarray, *parities: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Of pairs of sets with n and m shingles and these short parities, those that sizes and parities do not rule out."""
-    apart = sum(np.bitwise_count(a ^ b).astype(np.int64) for a, b in parities)
+    # as unsigned words: of a negative number the bits of its absolute value would be counted
+    apart = sum(np.bitwise_count(np.bitwise_xor(a, b).view(np.uint64)).astype(np.int64) for a, b in parities)
     return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * apart <= n + m)
 
 

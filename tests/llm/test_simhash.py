@@ -177,6 +177,8 @@ def test_filters_never_drop_similar_sets():
         if simhash.similar(own, other):
             assert np.isin(simhash.prefix(own, common), simhash.prefix(other, common)).any()
             assert simhash.may_be_similar(len(own), simhash.parities(own), len(other), simhash.parities(other))
+            (a, b), (c, d) = (map(lambda x: np.array([x], np.int64), simhash.short_parities(s)) for s in (own, other))
+            assert simhash._plausible(np.array([len(own)]), np.array([len(other)]), (a, c), (b, d))[0]
 
 
 def test_links_are_verified_on_the_texts(spark):
