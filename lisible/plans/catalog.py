@@ -701,3 +701,149 @@ def stream_progress_latest(spark, d):
     run = counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
+
+
+# ---- science read aloud, reports, and golden rows -------------------------------------------------------------------
+
+from ..functions import repair as REPAIR  # noqa: E402
+from ..operators import reports as RP  # noqa: E402
+from ..operators import science as SC  # noqa: E402
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '\s+|\p{{L}}+(?:[''’]\p{{L}}+)?|[0-9]+|[^\s\p{{L}}0-9]')) AS v FROM conversations)
+SELECT conv_id, turn, count(*) AS n_tokens, count(*) FILTER (regexp_matches(v, '\p{{L}}')) AS n_words, count(*) FILTER (NOT regexp_matches(v, '\p{{L}}') AND NOT regexp_matches(v, '^\s+$')) AS n_signs FROM t GROUP BY ALL""")
+def colouring_tokens(spark, d):
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.explode(RP.colouring_tokens(F.col("text"))).alias("t"))
+    kind = lambda k: F.count_if(F.col("t.type") == k)
+    return t.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_tokens"), kind("word").alias("n_words"), kind("punct").alias("n_signs"))
+
+
+@query(r"""WITH w AS (SELECT unnest(string_split_regex(text, '\s+')) AS w FROM conversations)
+SELECT translate(regexp_replace(w, '^[^\p{L}0-9]+|[^\p{L}0-9]+$', '', 'g'), '’', '''') AS word, count(*) AS n FROM w GROUP BY 1""")
+def lookup_words(spark, d):
+    words = table(spark, d, "conversations").select(F.explode(F.split("text", r"\s+")).alias("w"))
+    return words.groupBy(RP.lookup_word(F.col("w")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, block, page FROM blocks WHERE page = 1")
+def scope_first_page(spark, d):
+    own = own_blocks(spark, d)
+    pages = RP.scope_pages(own.select("doc_id", "page").distinct(), "doc_id", "page", "current-page")
+    return own.join(pages, ["doc_id", "page"], "left_semi").select("doc_id", "block", "page")
+
+
+@query(f"""WITH {BLOCKS}, pages AS (SELECT doc_id, page, sum(length(text)) AS chars, count(*) AS items FROM blocks GROUP BY ALL),
+g AS (SELECT doc_id, sum(chars) AS chars, count(*) AS n, count(*) FILTER (chars < 35 OR items < 8) AS poor FROM pages GROUP BY doc_id),
+q AS (SELECT doc_id, n, CASE WHEN chars < 180 OR poor / n >= 0.8 THEN 'poor' WHEN poor / n >= 0.25 THEN 'partial' ELSE 'good' END AS quality FROM g)
+SELECT doc_id, CASE quality WHEN 'good' THEN 'Extraction stable' WHEN 'partial' THEN 'Extraction partielle' ELSE 'PDF scanné détecté' END AS label,
+  n || ' page(s) - ' || CASE quality WHEN 'good' THEN 'ok' WHEN 'partial' THEN 'partiel' ELSE 'scanné' END AS recent,
+  CASE quality WHEN 'poor' THEN 'PDF scanné détecté. Lance l''OCR local si tu veux reconstruire une version lisible.' ELSE 'PDF importé localement avec succès.' END AS status FROM q""")
+def document_labels(spark, d):
+    q, zero = F.col("quality"), F.lit(0)
+    return B.quality(own_blocks(spark, d)).select("doc_id", RP.quality_label(q).alias("label"), RP.recent_label(F.col("n_pages"), q, zero, zero).alias("recent"), RP.import_status(q, zero, F.lit(None).cast("double")).alias("status"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n+'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
+u AS (SELECT doc_id, len(l) AS n, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM l),
+s AS (SELECT *, CASE WHEN contains(x, ':') THEN ':' WHEN contains(x, '->') THEN '->' WHEN contains(x, '=>') THEN '=>' END AS sign FROM u),
+r AS (SELECT doc_id, n, i, trim(split_part(x, sign, 1)) AS label, trim(substr(x, instr(x, sign) + length(sign))) AS value FROM s WHERE sign IS NOT NULL),
+k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS m FROM r WHERE label <> '' AND length(label) <= 40 AND length(value) >= 2)
+SELECT doc_id, label, value FROM k WHERE n >= 2 AND m >= 2 AND m >= ceil(n / 2)""")
+def legend_rows(spark, d):
+    return docs(spark, d).select("doc_id", F.explode(SC.legend_rows(F.col("text"))).alias("r")).select("doc_id", "r.label", "r.value")
+
+
+#: Words and texts with the results that are expected of them, written out.
+SYLLABLES_GOLDEN = (
+    "numéro=nu-mé-ro parité=pa-ri-té spéculer=spé-cu-ler argent=ar-gent expert=ex-pert informer=in-for-mer adjoint=ad-joint ballet=bal-let commission=com-mis-sion appel=ap-pel "
+    "table=ta-ble abri=a-bri cibler=ci-bler complet=com-plet entrer=en-trer débrayer=dé-bray-er ouvrir=ou-vrir acheter=a-che-ter éléphant=é-lé-phant hypothèse=hy-po-thè-se "
+    "ignorer=i-gno-rer algorithme=al-go-rith-me compter=comp-ter fonctionner=fonc-tion-ner applicable=ap-pli-ca-ble assemblée=as-sem-blée afflux=af-flux maïs=ma-ïs naïf=na-ïf "
+    "réunion=ré-u-nion coopérative=co-o-pé-ra-tive antiacide=an-ti-a-ci-de parle=par-le lune=lu-ne téléphone=té-lé-pho-ne l'école=l'é-co-le qu'avait=qu'a-vait jusqu'à=jusqu'à "
+    "porte-monnaie=por-te-mon-naie"
+)
+MATH_GOLDEN = (
+    ("3x^2 + 2x - 5 = 0", True, True), ("ΔT = λ/(ρ·c) + α^2", True, True), ("sin(θ) = 0", True, True), ("a·b", True, True), ("v = 3 m/s²", True, True),
+    ("Praticien OPTAM / OPTAM - ACO 70% 150% 175% 200%", False, False), ("Frais de sejour 80% 100% 100% 100%", False, False), ("FR = Frais réels.", False, False),
+    ("© WEBLETTRES / LE ROBERT – Français 2 – Livre unique – Collection Passeurs de textes", False, False), ("Que vois-je ? cria-t-il : ôtez-moi cet objet.", False, False),
+)
+REPAIR_LEXICON = (
+    "des femmes savantes de moliere definition et demander que l'on l on reconnaitre un acide une reaction relier le base couple salaires autres optionnelles cycle lion livre fable page sultan leopard dont s'est pudeur"
+).split()
+REPAIR_GOLDEN = (
+    ("merged", "desFemmes Savantesde Moliere", "des Femmes Savantes de Moliere"), ("merged", "Reconnaitre unacide et unereaction.", "Reconnaitre un acide et une reaction."),
+    ("merged", "Relier lepH et unebaseet uncouple.", "Relier le pH et une base et un couple."), ("split", "De finition et de mander.", "Definition et demander."),
+    ("split", "Sa la ires et au tres.", "Salaires et autres."), ("split", "OPTIONNEL LES et Cyc le.", "OPTIONNELLES et Cycle."),
+    ("exploded", "L e l i o n L i v re X I - F a b le 1 pa g e 2", "Le lion Livre XI - Fable 1 page 2"), ("exploded", "Li · v re I - Fable 8 | page 1 0", "Livre I - Fable 8 | page 1 0"),
+    ("exploded", "S u l · t a n L é · o · p a r d a u · t r e · f o i s", "Sultan Léopard autrefois"), ("apostrophe", "Donts'est", "Dont s'est"), ("apostrophe", "pudeurs'est", "pudeur s'est"),
+    ("apostrophe", "quel'on", "que l'on"), ("artifacts", "Relier acide-baseavec un tampon pHet ci-des sous.", "Relier acide-base avec un tampon pH et ci-dessous."),
+    ("artifacts", "Il vient às'en vouloir.", "Il vient à s'en vouloir."), ("artifacts", "Livre I - Fable 8 | page 1 0", "Livre I - Fable 8 | page 10"),
+)
+SPEECH_GOLDEN = (
+    ("sin(θ) = 0", "sinus (theta) égal à 0"), ("T = 20 °C", "T égal à 20 degres Celsius"), ("v = 3 m/s²", "v égal à 3 metres sur s²"), ("α^2 ≤ 50 %", "alpha puissance 2 inférieur ou égal à 50 pour cent"),
+    ("Je puis fermer les yeux sur vos flammes secrètes.", "Je puis fermer les yeux sur vos flammes secrètes."),
+)
+
+
+def _values(rows) -> str:
+    cell = lambda v: str(v).lower() if isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+
+
+@query(f"SELECT * FROM (VALUES {_values([x.split('=') for x in SYLLABLES_GOLDEN.split()])}) AS t(word, text)")
+def syllables_golden(spark, d):
+    return W.syllables(spark.createDataFrame([(x.split("=")[0],) for x in SYLLABLES_GOLDEN.split()], "word string")).select("word", "text")
+
+
+@query(f"SELECT * FROM (VALUES {_values(MATH_GOLDEN)}) AS t(text, contains_math, is_formula)")
+def math_golden(spark, d):
+    df = spark.createDataFrame([(r[0],) for r in MATH_GOLDEN], "text string")
+    return M.measured(df, F.col("text"), M.n_units(M.normalise_notation(F.col("text")))).select("text", "contains_math", "is_formula")
+
+
+@query(f"SELECT * FROM (VALUES {_values(REPAIR_GOLDEN)}) AS t(op, text, repaired)")
+def repair_golden(spark, d):
+    words = frozenset(REPAIR_LEXICON)
+
+    @F.udf("string")
+    def fix(op, text):
+        return getattr(REPAIR.Repairer(words), op)(text)
+
+    return spark.createDataFrame([r[:2] for r in REPAIR_GOLDEN], "op string, text string").withColumn("repaired", fix("op", "text"))
+
+
+@query(f"SELECT * FROM (VALUES {_values(SPEECH_GOLDEN)}) AS t(text, speech)")
+def math_speech_golden(spark, d):
+    return spark.createDataFrame([(r[0],) for r in SPEECH_GOLDEN], "text string").withColumn("speech", SC.spoken_math(F.col("text")))
+
+
+@query()
+def math_speech(spark, d):
+    """Every block as it is read aloud."""
+    own = B.typed(own_blocks(spark, d))
+    return own.select("doc_id", "block", SC.speech_text(F.lit(None).cast("string"), F.col("text"), F.col("contains_math")).alias("speech"))
+
+
+@query("""SELECT category, count(*) AS n_keys, count(DISTINCT lemma) AS n_entries FROM (VALUES {}) AS t(key, lemma)
+JOIN (VALUES ('molécule', 'science'), ('animal', 'général'), ('rencontrer', 'général'), ('général', 'général'), ('tableau', 'école')) AS c(l, category) ON l = lemma GROUP BY category""".format(INDEX_VALUES))
+def dictionary_stats(spark, d):
+    return RP.dictionary_stats(W.dictionary_index(spark.createDataFrame(SEEDS, SEED_SCHEMA)))
+
+
+CONTENTS_ROWS = [
+    (1, 0, "paragraph", "Fables FABLES"), (1, 1, "paragraph", "Livre I - Fable 1 page 3"), (1, 2, "paragraph", "Livre I - Fable 2 page 4"), (1, 3, "paragraph", "Livre II - Fable 1 page 9"),
+    (2, 0, "paragraph", "Livre I - Fable 1 page 3"), (2, 1, "paragraph", "Un texte."), (3, 0, "heading", "Sommaire"), (3, 1, "paragraph", "Livre I - Fable 1 page 3"),
+    (3, 2, "paragraph", "Livre I - Fable 2 page 4"), (3, 3, "paragraph", "Livre I - Fable 3 page 5"),
+]
+
+
+@query("""SELECT * FROM (VALUES (1, -1, 'heading', 'Sommaire'), (1, 0, 'paragraph', 'Fables'), (1, 1, 'paragraph', 'Livre I - Fable 1 page 3'), (1, 2, 'paragraph', 'Livre I - Fable 2 page 4'),
+(1, 3, 'paragraph', 'Livre II - Fable 1 page 9'), (2, 0, 'paragraph', 'Livre I - Fable 1 page 3'), (2, 1, 'paragraph', 'Un texte.'), (3, 0, 'heading', 'Sommaire'),
+(3, 1, 'paragraph', 'Livre I - Fable 1 page 3'), (3, 2, 'paragraph', 'Livre I - Fable 2 page 4'), (3, 3, 'paragraph', 'Livre I - Fable 3 page 5')) AS t(page, block_index, type, text)""")
+def contents_page(spark, d):
+    return SC.contents_page(spark.createDataFrame(CONTENTS_ROWS, "page int, block_index int, type string, text string"), ["page"], "block_index", B.CONTENTS_ENTRY)
+
+
+@query("""WITH r AS (SELECT * FROM (VALUES (1, 0, 'none'), (1, 1, 'low'), (2, 0, 'none'), (2, 1, 'none')) AS t(page, block, level)) SELECT page, block FROM r WHERE level <> 'none' OR page = 2""")
+def review_blocks(spark, d):
+    rows = spark.createDataFrame([(1, 0, "none"), (1, 1, "low"), (2, 0, "none"), (2, 1, "none")], "page int, block int, level string")
+    return SC.visible_blocks(rows, ["page"], "level", True).select("page", "block")
