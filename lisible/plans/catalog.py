@@ -347,23 +347,23 @@ def question_keywords(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.posexplode(Q.keywords(F.col("text"))).alias("k", "keyword")).select("item_id", (F.col("k") + 1).alias("k"), "keyword")
 
 
-def _asked(spark, d):
-    """A document is asked the benchmark item whose number its own ends in, as each reader asks their own document."""
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))
-    own = own_blocks(spark, d).withColumn("item_id", F.pmod(F.col("doc_id"), F.lit(40)))
-    asked = items.withColumn("keywords", Q.keywords(F.col("question")))
-    return Q.readable(own).join(asked, "item_id").withColumn("score", Q.score(F.col("text"), F.col("keywords")))
-
-
 ASKED = f"""{BLOCKS}, {KEYWORDS},
 lists AS (SELECT item_id, list(w) AS ws FROM keyed WHERE k <= 12 GROUP BY item_id),
 readable AS (SELECT doc_id, block, page, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM blocks),
-scores AS (SELECT r.*, b.item_id, len(list_filter(coalesce(ws, []), lambda w: contains(strip_accents(lower(r.text)), w))) AS score
-  FROM readable r JOIN benchmark b ON b.item_id = r.doc_id % 40 LEFT JOIN lists l ON l.item_id = b.item_id WHERE length(r.text) >= 8)
+scores AS (SELECT r.*, l.item_id, len(list_filter(ws, lambda w: contains(strip_accents(lower(r.text)), w))) AS score FROM readable r, lists l WHERE length(r.text) >= 8)
 """
 
 
-@query(f"WITH {ASKED} SELECT doc_id, item_id, block, CAST(score AS INTEGER) AS score FROM scores")
+def _items_asked(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))
+
+
+def _asked(spark, d):
+    """Every document is asked every benchmark item."""
+    return Q.corpus_scores(own_blocks(spark, d).select("doc_id", "block", "page", "text"), _items_asked(spark, d), "item_id")
+
+
+@query(f"WITH {ASKED} SELECT doc_id, item_id, block, CAST(score AS INTEGER) AS score FROM scores WHERE score > 0")
 def question_block_scores(spark, d):
     return _asked(spark, d).select("doc_id", "item_id", "block", "score")
 
@@ -374,32 +374,22 @@ def question_top10(spark, d):
 
 
 @query(f"""WITH {ASKED},
-placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY block) - 1 AS place, CASE WHEN score > 0 THEN row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, page, block) END AS best FROM scores),
+met AS (SELECT doc_id, item_id, row_number() OVER (PARTITION BY doc_id ORDER BY max(score) DESC, item_id) AS n FROM scores WHERE score > 0 GROUP BY doc_id, item_id),
+own AS (SELECT s.* FROM scores s JOIN met m ON m.doc_id = s.doc_id AND m.item_id = s.item_id AND n = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY block) - 1 AS place, CASE WHEN score > 0 THEN row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, page, block) END AS best FROM own),
 prior AS (SELECT *, CASE WHEN place BETWEEN -4 AND 6 THEN place + 4 WHEN best <= 10 THEN 100 + best WHEN place < 8 THEN 200 + place END AS priority, '[p.' || page || '] ' || text AS chunk FROM placed),
 summed AS (SELECT *, coalesce(sum(length(chunk) + 2) OVER (PARTITION BY doc_id, item_id ORDER BY priority ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM prior WHERE priority IS NOT NULL),
 fit AS (SELECT *, 5200 - before AS room, coalesce(max(CASE WHEN length(chunk) > 5200 - before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, item_id ORDER BY priority ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM summed),
 pieces AS (SELECT *, CASE WHEN length(chunk) <= room THEN chunk WHEN room > 180 THEN trim(regexp_replace(left(chunk, CAST(room AS BIGINT)), '\\s+\\S*$', '')) || '...' END AS piece FROM fit)
 SELECT doc_id, item_id, string_agg(piece, chr(10) || chr(10) ORDER BY priority) AS context FROM pieces WHERE stopped = 0 AND piece IS NOT NULL GROUP BY doc_id, item_id""")
 def question_context_budget(spark, d):
-    return Q.contexts(_asked(spark, d), ["doc_id", "item_id"])
+    """One context a document, for the item that it matches best; contexts for the other items are not built.
 
-
-ASKED_OF_ALL = ASKED.replace("b.item_id = r.doc_id % 40", "true")
-
-
-def _asked_of_all(spark, d):
-    """Every document is asked every benchmark item."""
-    return Q.corpus_scores(own_blocks(spark, d).select("doc_id", "block", "page", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("question")), "item_id")
-
-
-@query(f"WITH {ASKED_OF_ALL} SELECT doc_id, item_id, block, CAST(score AS INTEGER) AS score FROM scores WHERE score > 0")
-def question_corpus_scores(spark, d):
-    return _asked_of_all(spark, d).select("doc_id", "item_id", "block", "score")
-
-
-@query(f"WITH {ASKED_OF_ALL}, best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, page, block) AS rank FROM scores WHERE score > 0) SELECT doc_id, item_id, block, CAST(score AS INTEGER) AS score, CAST(rank AS INTEGER) AS rank FROM best WHERE rank <= 10")
-def question_corpus_top10(spark, d):
-    return Q.top_blocks(_asked_of_all(spark, d), ["doc_id", "item_id"]).select("doc_id", "item_id", "block", "score", "rank")
+    All items are scored to choose it. Taking the best one is this query's own choice, to keep the output to a row a
+    document; documents that match no item have no row.
+    """
+    chosen = Q.best_questions(_asked(spark, d), "doc_id", "item_id").join(_items_asked(spark, d), "item_id")
+    return Q.contexts(Q.scored(own_blocks(spark, d), chosen, "doc_id", "item_id"), ["doc_id", "item_id"])
 
 
 ANNOTATED = """
@@ -592,7 +582,7 @@ def dictionary_index(spark, d):
 
 
 @query("SELECT * FROM (VALUES ('Molécules', 'molécule'), ('rencontrée', 'rencontrer'), ('animaux', 'animal'), ('inconnu', NULL), ('tableauxs', 'tableau')) AS t(word, lemma)")
-def dictionary_lookup(spark, d):
+def dictionary_golden(spark, d):
     words = spark.createDataFrame([("Molécules",), ("rencontrée",), ("animaux",), ("inconnu",), ("tableauxs",)], "word string")
     return W.dictionary_lookup(words, W.dictionary_index(spark.createDataFrame(SEEDS, SEED_SCHEMA))).select("word", "lemma")
 
@@ -666,13 +656,8 @@ def _items(spark, d):
     return own.select("doc_id", "page_number", (F.col("block_index") * 10_000 + F.col("i")).alias("item_seq"), "str", (F.col("i") * 60.0).alias("x"), (700.0 - F.col("block_index") * 16).alias("y"), F.lit(12.0).alias("font_size"), F.lit(56.0).alias("width"), F.lit(800.0).alias("page_height"))
 
 
-@query(f"WITH {BLOCKS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, page AS page_number, CAST(block_index AS INTEGER) AS line_index, CAST(len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS INTEGER) AS n_items FROM blocks WHERE page = 1")
-def layout_lines(spark, d):
-    return L.lines(_items(spark, d).where("page_number = 1")).select("doc_id", "page_number", "line_index", "n_items")
-
-
 @query(f"WITH {BLOCKS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, page AS page_number, CAST(block_index AS INTEGER) AS line_index, CAST(len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS INTEGER) AS n_items FROM blocks")
-def layout_lines_all_pages(spark, d):
+def layout_lines(spark, d):
     return L.lines(_items(spark, d)).select("doc_id", "page_number", "line_index", "n_items")
 
 
