@@ -67,6 +67,55 @@ def all_profiles(builtin: DataFrame, custom: DataFrame) -> DataFrame:
     return builtin.unionByName(custom.join(builtin, "id", "left_anti"))
 
 
+def save_profiles(custom: DataFrame, saved: DataFrame, draft_id: str, seq_col: str = "seq") -> DataFrame:
+    """Custom profiles after one save a user, newest first: the saved one replaces those of its id or label, and drafts go.
+
+    Columns user, id, label and seq. Null labels equal no other; users without a save keep all; columns of both must agree.
+    """
+    news = saved.select("user", F.col("id").alias("_saved_id"), F.col("label").alias("_saved_label"))
+    replaced = (F.col("id") == F.col("_saved_id")) | F.coalesce(F.col("label") == F.col("_saved_label"), F.lit(False)) | (F.col("id") == draft_id)
+    old = custom.join(news, "user", "left").where(F.col("_saved_id").isNull() | ~replaced).select(*custom.columns)
+    both = saved.withColumn("_age", F.lit(0)).unionByName(old.withColumn("_age", F.lit(1)))
+    return both.withColumn(seq_col, F.row_number().over(Window.partitionBy("user").orderBy("_age", seq_col, "id")) - 1).drop("_age")
+
+
+def delete_profiles(custom: DataFrame, gone: DataFrame) -> DataFrame:
+    """Custom profiles without those of (user, id) in gone."""
+    return custom.join(gone, ["user", "id"], "left_anti")
+
+
+def profile_id(label: Column, otherwise: Column) -> Column:
+    """custom- and the label's letters and digits, runs of others as one -; `otherwise` stands in where none are left."""
+    from ..functions.text import strip_marks
+
+    slug = F.regexp_replace(F.regexp_replace(strip_marks(label), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.concat(F.lit("custom-"), F.coalesce(F.nullif(slug, F.lit("")), otherwise.cast("string")))
+
+
+# Themes by the names they had, overlay colours.
+THEMES = {"clair": "clair", "intermediaire": "intermediaire", "sombre": "sombre", "blanc": "clair", "neutre": "intermediaire", "brume": "intermediaire", "creme": "intermediaire", "contraste": "intermediaire", "nuitDouce": "sombre"}
+OVERLAYS = {"none": "transparent", "creme": "#f1e8c9", "blue": "#dbeafe", "green": "#dff3e7", "rose": "#f7dce5", "yellow": "#f5e7a9", "grey": "#e4e7eb"}
+
+
+def _named(c: Column, names: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.coalesce(c, F.lit("")))
+
+
+def theme(c: Column, otherwise: str) -> Column:
+    """The theme a name stands for; `otherwise` for null and unknown names."""
+    return F.coalesce(_named(F.trim(c), THEMES), F.lit(otherwise))
+
+
+def overlay_colour(preset: Column, own: Column) -> Column:
+    """The preset's colour, the own one of a custom preset; unknown and null presets are transparent."""
+    return F.when(preset == "custom", F.coalesce(F.nullif(own, F.lit("")), F.lit(OVERLAYS["blue"]))).otherwise(F.coalesce(_named(preset, OVERLAYS), F.lit(OVERLAYS["none"])))
+
+
+def overlay_opacity(preset: Column, opacity: Column) -> Column:
+    """0 without an overlay, else between 0 and 0.3; null counts as 0."""
+    return F.when(preset == "none", F.lit(0.0)).otherwise(clamp(F.coalesce(opacity.cast("double"), F.lit(0.0)), 0.0, 0.3))
+
+
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
