@@ -1,18 +1,25 @@
 """From positioned text items to lines and blocks, page by page; OCR paragraphs to blocks.
 
-Clustering items to lines and folding lines to blocks depend on the order of what came before, so a page is one
-group of applyInPandas; everything around them is built-in.
+Clustering items to lines and folding lines to blocks depend on the order of what came before. Rows of a page stand
+together, in order, and go through Python in Arrow batches of many pages. Pages whose lines stand apart are clustered
+by vector operations, and the others one by one by the same rule; everything around them is built-in.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cmp_to_key
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.math import COUNTED
 from ..functions.text import js
 from .blocks import CELL, CONTENTS_ENTRY, DECORATIVE, LIST
 
@@ -70,18 +77,188 @@ def page_lines(page: pd.DataFrame) -> list[Line]:
     return lines
 
 
-def lines(items: DataFrame) -> DataFrame:
-    """One row a line: place, cells, metrics. Items of a page are its group."""
+LINE_COLUMNS = [c.split()[0] for c in LINES.split(", ")]
+LINE_TYPES = pa.schema(dict(zip(LINE_COLUMNS, [pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 4, pa.string(), pa.list_(pa.string()), pa.int32(), *[pa.float64()] * 3], strict=True)))
+#: Rows that are worked on at a time, or those of one page if it has more.
+AT_ONCE = 1 << 16
 
-    def cluster(page: pd.DataFrame) -> pd.DataFrame:
-        median, rows = page["font_size"].abs().replace(0, 12).median() or 12, []
-        for i, line in enumerate(page_lines(page)):
-            cells, fonts, ys = line.cells(), [p["font"] for p in line.parts], [p["y"] for p in line.parts]
-            left = min(p["x"] for p in line.parts)
-            rows.append((page["doc_id"].iloc[0], page["page_number"].iloc[0], i, line.y, line.height, left, max(p["end"] for p in line.parts) - left, " ".join(cells), cells, len(line.parts), max(ys) - min(ys), (max(fonts) - min(fonts)) / max(fonts), median))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in LINES.split(", ")])
 
-    return items.groupBy("doc_id", "page_number").applyInPandas(cluster, LINES)
+def in_pages(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows of a page together, in order."""
+    return rows.repartition("doc_id", "page_number").sortWithinPartitions("doc_id", "page_number", *order)
+
+
+def page_starts(rows: pa.Table, rising: list[str]) -> np.ndarray:
+    """Whether a page begins at a row: another page than before it, or a place (columns rising, if any) not behind the one before."""
+    new, n = np.ones(rows.num_rows, bool), rows.num_rows
+    places = [rows[c].fill_null(0).to_numpy() for c in rising]
+    later = np.zeros(max(n - 1, 0), bool)
+    for place in reversed(places):
+        later = (place[1:] > place[:-1]) | ((place[1:] == place[:-1]) & later)
+    if n:
+        new[1:] = ~later if places else False
+        for c in ("doc_id", "page_number"):
+            code = rows[c].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+    return new
+
+
+def whole_pages(batches: Iterator[pa.RecordBatch], rising: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole pages, with the number of each row's page in the table."""
+    held, n, enough = [], 0, AT_ONCE
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < enough:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        new = page_starts(rows, rising)
+        last = int(np.flatnonzero(new)[-1])
+        if last:
+            yield rows.slice(0, last), np.cumsum(new[:last]) - 1
+        held, n = rows.slice(last).to_batches(), rows.num_rows - last
+        enough = max(AT_ONCE, 2 * n)
+    if n:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        yield rows, np.cumsum(page_starts(rows, rising)) - 1
+
+
+def _bands(keys: np.ndarray, page: np.ndarray, near: np.ndarray, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of page and key, where bands begin in it, and whether a page's bands (by page) are plain.
+
+    A band ends where the next key is more than near away. It is plain if all its keys are within near of each other: then
+    "near each other" is an equivalence, and whatever goes by it is these bands.
+    """
+    order = np.arange(len(keys))
+    if ((page[1:] == page[:-1]) & ~(keys[1:] >= keys[:-1])).any():
+        order = np.lexsort((order, keys, page))
+    k, g, far = keys[order], page[order], near[order]
+    gap = k[1:] - k[:-1]
+    other = g[1:] != g[:-1]
+    new = np.concatenate([[True], other | (gap > far[1:])])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(k)) - 1
+    plain = np.ones(g[-1] + 1, bool)
+    plain[g[first[~(k[last] - k[first] <= far[first] * (1 - slack))]]] = False
+    plain[g[1:][~other & new[1:] & ~(gap > far[1:] * (1 + slack))]] = False
+    return order, new, plain
+
+
+def _by_place(order: np.ndarray, band: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Rows in the order of band, then x, then as they came."""
+    own = x[order]
+    same = band[1:] == band[:-1]
+    if (same & ((own[1:] < own[:-1]) | ((own[1:] == own[:-1]) & (order[1:] < order[:-1])))).any():
+        return order[np.lexsort((order, own, band))]
+    return order
+
+
+def _medians(values: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """The median of each page's values; pages are numbered from 0 and none is without rows."""
+    ranked = values[np.lexsort((values, page))]
+    n = np.bincount(page)
+    start = np.cumsum(n) - n
+    return (ranked[start + (n - 1) // 2] + ranked[start + n // 2]) / 2
+
+
+def _odd_page(page: pd.DataFrame) -> list[tuple]:
+    """The lines of one page, whatever its items."""
+    median, rows = page["font_size"].abs().replace(0, 12).median() or 12, []
+    for i, line in enumerate(page_lines(page)):
+        cells, fonts, ys = line.cells(), [p["font"] for p in line.parts], [p["y"] for p in line.parts]
+        left = min(p["x"] for p in line.parts)
+        rows.append((page["doc_id"].iloc[0], page["page_number"].iloc[0], i, line.y, line.height, left, max(p["end"] for p in line.parts) - left, " ".join(cells), cells, len(line.parts), max(ys) - min(ys), (max(fonts) - min(fonts)) / max(fonts), median))
+    return rows
+
+
+def _joined(elements: pa.Array, starts: np.ndarray) -> pa.Array:
+    """Strings, each the elements from one start up to the next or the end; no byte is copied."""
+    _, offsets, data = elements.buffers()
+    ends = np.frombuffer(offsets, np.int32, len(elements) + 1)
+    cut = np.append(ends[starts], ends[-1]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(cut), data)
+
+
+def _clustered(rows: pa.Table, page: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Lines of whole pages of items: what page_lines and Line.cells give for each page."""
+    x, y, font, width = (rows[c].to_numpy().astype(np.float64) for c in ("x", "y", "font_size", "width"))
+    font = np.abs(font)
+    font[font == 0] = 12
+    coded = rows["str"].combine_chunks().dictionary_encode("encode")
+    texts = [" ".join((t or "").split()) for t in coded.dictionary.to_pylist()]
+    code, lengths = coded.indices.to_numpy(), np.array([len(t) for t in texts])
+    width = np.where(np.isnan(width) | (width == 0), np.maximum(lengths[code] * font * 0.42, 0), width)
+    end = x + width
+    # a mean of places can leave their range by rounding: the slack is far above that
+    sound = np.isfinite(x) & np.isfinite(font) & np.isfinite(end) & (np.abs(y) < 1e6)
+    median = _medians(font, page)
+    order, new, plain = _bands(-y, page, np.maximum(median * 0.45, 2.5)[page], 1e-9)
+    plain[page[~sound]] = False
+    order = _by_place(order, np.cumsum(new), x)
+    height = np.maximum.reduceat(font[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    close = ~new[1:] & (x[order][1:] - x[order][:-1] <= np.maximum(1.2, height[1:] * 0.08))
+    plain[page[order][1:][close & (y[order][:-1] < y[order][1:])]] = False
+    for at in np.flatnonzero(~plain):
+        found = _odd_page(rows.filter(pa.array(page == at)).to_pandas())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*found, strict=True)), LINE_TYPES.types, strict=True)], schema=LINE_TYPES)
+    good = plain[page[order]]
+    order, new, height = order[good], new[good], height[good]
+    if not len(order):
+        return
+    x, y, font, width, end, code, page = (c[order] for c in (x, y, font, width, end, code, page))
+    first, line = np.flatnonzero(new), np.cumsum(new) - 1
+    n = np.diff(np.append(first, len(order)))
+    low, high = np.minimum.reduceat(y, first), np.maximum.reduceat(y, first)
+    mean = low * n / n
+    for i in np.flatnonzero((low != high) | (low * 1024 != np.rint(low * 1024))).tolist():
+        mean[i] = sum(y[first[i] : first[i] + n[i]].tolist()) / int(n[i]) if n[i] > 1 else low[i]
+    # cells: only items with a text, each beside the next of its line
+    joint, before, after = (np.array([bool(p(t)) for t in texts]) for p in (OPERATOR.fullmatch, NO_SPACE_BEFORE.match, NO_SPACE_AFTER.search))
+    some = np.flatnonzero(lengths[code] > 0)
+    here, c = some[:-1], code[some]
+    beside = line[some][1:] == line[some][:-1]
+    gap, each = x[some][1:] - end[here], width[here] / lengths[c[:-1]]
+    both, tight = joint[c[:-1]] | joint[c[1:]], after[c[:-1]] | before[c[1:]]
+    apart = beside & (gap >= np.maximum(np.maximum(each * 4.8, height[some][1:] * 1.35), 18)) & ~both & ~tight
+    space = beside & ~apart & (gap > np.maximum(each * 0.65, 3)) & (both | ~tight)
+    spaced = pa.array([*texts, *(t + " " for t in texts)], pa.string())
+    ended = lambda flag: spaced.take(pa.array(c + len(texts) * np.append(flag, False)[: len(c)]))
+    starts_cell = np.concatenate([[True], apart | ~beside])[: len(c)]
+    cells = _joined(ended(space), np.flatnonzero(starts_cell))
+    per_line = np.bincount(line[some][starts_cell], minlength=len(first))
+    text = _joined(ended(space | apart), np.searchsorted(line[some], np.arange(len(first))))
+    cells = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_line)), pa.int32()), cells)
+    owner = pa.array(order[first])
+    number = np.flatnonzero(np.append(True, page[first][1:] != page[first][:-1]))
+    index = np.arange(len(first)) - np.repeat(number, np.diff(np.append(number, len(first))))
+    left, fonts = np.minimum.reduceat(x, first), np.maximum.reduceat(font, first)
+    columns = [rows["doc_id"].take(owner).combine_chunks(), rows["page_number"].take(owner).combine_chunks(), index, mean, fonts, left, np.maximum.reduceat(end, first) - left, text, cells, n, high - low, (fonts - np.minimum.reduceat(font, first)) / fonts, median[page[first]]]
+    yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(columns, LINE_TYPES.types, strict=True)], schema=LINE_TYPES)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of arrays as a row for each of their entries; doc_id and page_number, which come first, are repeated."""
+    for batch in batches:
+        owner = pc.list_parent_indices(batch.column(2))
+        yield pa.RecordBatch.from_arrays([*(c.take(owner) for c in batch.columns[:2]), *(c.flatten() for c in batch.columns[2:])], batch.schema.names)
+
+
+def lines(items: DataFrame, together: bool = False) -> DataFrame:
+    """One row a line: place, cells, metrics; the lines of a page follow each other.
+
+    together: the items of a page already follow each other in a partition with rising item_seq, and nothing is shuffled;
+    a repeated or falling item_seq begins another page. A row may then hold many items, in arrays of equal length
+    without nulls: Spark's way to Python costs microseconds a row, whatever is in it.
+    """
+    packed = together and isinstance(items.schema["str"].dataType, T.ArrayType)
+
+    def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, page in whole_pages(_unpacked(batches) if packed else batches, ["item_seq"] if together else []):
+            yield from _clustered(rows, page)
+
+    double = "array<double>" if packed else "double"
+    own = items.select("doc_id", "page_number", "item_seq", "str", *(F.col(c).cast(double).alias(c) for c in ("x", "y", "font_size", "width")))
+    return (own if together else in_pages(own, "item_seq")).mapInArrow(cluster, LINES)
 
 
 BLOCKS = "doc_id string, page_number int, block_index int, type string, text string, x double, y double, width double, height double, rows array<array<string>>"
@@ -129,9 +306,9 @@ def typed_lines(found: DataFrame) -> DataFrame:
     return out.withColumn("type", kind).withColumn("text", text).select(*found.columns, "type")
 
 
-def blocks(items: DataFrame) -> DataFrame:
+def blocks(items: DataFrame, together: bool = False) -> DataFrame:
     """Items to typed blocks: cluster, classify in built-in expressions, fold. Both groups are single pages."""
-    return typed_lines(lines(items)).groupBy("doc_id", "page_number").applyInPandas(fold, BLOCKS)
+    return typed_lines(lines(items, together)).groupBy("doc_id", "page_number").applyInPandas(fold, BLOCKS)
 
 
 def ocr_text(text):

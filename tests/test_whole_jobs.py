@@ -1,5 +1,10 @@
 """Queries do the whole job: all questions, all pages, all words."""
 
+import random
+from functools import cmp_to_key
+
+import pandas as pd
+
 import __spark_entry__ as entry
 from lisible.functions import math as M
 from lisible.operators import layout as L
@@ -37,3 +42,33 @@ def test_units_make_formulas_of_a_layout(spark):
     words = [("d", 1, i, w, i * 60.0, 700.0, 12.0, 56.0, 800.0) for i, w in enumerate("vitesse de 12 km".split())]
     items = spark.createDataFrame(words, "doc_id string, page_number int, item_seq int, str string, x double, y double, font_size double, width double, page_height double")
     assert [r.type for r in L.blocks(items).collect()] == ["formula"]
+
+
+ITEM = "doc_id string, page_number int, item_seq int, str string, x double, y double, font_size double, width double, page_height double"
+
+
+def test_layout_takes_pages_many_at_a_time(spark):
+    """Pages, aligned or not, give what the rule gives page by page, and no page is a Python group of its own."""
+    rnd = random.Random(4)
+    pages = [
+        [(f"d{p % 9}", p, i, rnd.choice(["mot", "=", "12", "(", "", "deux mots"]), rnd.choice([0.0, 1.0, 60.0, 61.0, 240.0]), 700 - rnd.choice([0.0, 0.3, 16.0, 40.1] if p % 2 else [0.0, 16.0, 32.0]), rnd.choice([12.0, 18.0, 0.0]), rnd.choice([None, 56.0]), 800.0) for i in range(rnd.randint(1, 9))]
+        for p in range(200)
+    ]
+    items = spark.createDataFrame([r for p in pages for r in p], ITEM)
+    want = {}
+    for p in pages:
+        frame = pd.DataFrame(p, columns=[c.split()[0] for c in ITEM.split(", ")]).astype({"width": float})
+        want |= {(p[0][0], p[0][1], i): (line.y, line.height, line.cells(), len(line.parts)) for i, line in enumerate(L.page_lines(frame))}
+    for rows in (L.lines(items.repartition(3)), L.lines(items.coalesce(1), together=True)):
+        got = rows.collect()
+        assert {(r.doc_id, r.page_number, r.line_index): (r.y, r.height, r.cells, r.n_items) for r in got} == want and len(got) == len(want)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_layout_of_documents_shuffles_no_items_and_keeps_repeated_ids_apart(spark, tmp_path):
+    texts = [(1, "a b c\nd e"), (1, "f\ng h"), (None, "i j"), (None, "k"), (2, " ".join(["w"] * 10_003) + "\nx y"), (3, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    lines = entry.queries()["layout_lines"](spark, str(tmp_path))
+    got = sorted((r.doc_id or "", r.page_number, r.line_index, r.n_items) for r in lines.collect())
+    assert got == sorted([("1", 1, 0, 3), ("1", 1, 1, 2), ("1", 1, 0, 1), ("1", 1, 1, 2), ("", 1, 0, 2), ("", 1, 0, 1), ("2", 1, 0, 10_003), ("2", 1, 1, 2)])
