@@ -266,30 +266,72 @@ ENTRY, DECOR, LISTED = (re.compile(p.replace(r"\b", r"(?:(?<![A-Za-z0-9_])(?=[A-
 ENDS, LOWER = re.compile(r"[:.!?]$"), re.compile("[a-zàâäéèêëîïôöùûüÿœæç]")
 
 
-def fold(page: pd.DataFrame) -> pd.DataFrame:
-    """Lines in order to blocks: a line opens a block unless it goes on from the last."""
-    blocks: list[dict] = []
-    before = None
-    for r in page.sort_values("line_index").itertuples():
-        if not r.text:
-            continue
-        gap, tall = (abs(before.y - r.y), max(before.height, r.height)) if before else (2 * r.height, r.height)
+BLOCK_COLUMNS = [c.split()[0] for c in BLOCKS.split(", ")]
+BLOCK_TYPES = pa.schema(dict(zip(BLOCK_COLUMNS, [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), *[pa.float64()] * 4, pa.list_(pa.list_(pa.string()))], strict=True)))
+
+
+def _entry(text: str) -> bool:
+    return "-" in text and bool(ENTRY.search(text))
+
+
+class Fold:
+    """Blocks of one page, line by line: a line opens a block unless it goes on from the last."""
+
+    def __init__(self):
+        self.blocks, self.y, self.height = [], None, 0.0
+
+    def add(self, kind: str, text: str, x: float, y: float, width: float, height: float, cells: list[str] | None) -> None:
+        blocks = self.blocks
+        gap, tall = (abs(self.y - y), max(self.height, height)) if self.y is not None else (2 * height, height)
         last = blocks[-1] if blocks else None
-        heading = r.type == "heading"
-        wraps = bool(last) and heading and last["type"] == "heading" and not DECOR.search(last["text"]) and not DECOR.search(r.text) and not ENDS.search(last["text"].strip()) and gap <= 2.2 * tall and bool(LOWER.match(r.text.strip()))
-        parts = heading and not wraps and (not last or last["type"] != "heading" or gap > 1.32 * tall or bool(ENDS.search(last["text"])) or bool(DECOR.search(last["text"])) or bool(DECOR.search(r.text)))
-        opens = not last or last["type"] != r.type or gap > (2.2 if r.type == "formula" else 1.7) * tall or parts or r.type == "list" or bool(ENTRY.search(r.text)) or bool(ENTRY.search(last["text"])) or r.type == "paragraph" and bool(ENDS.search(last["text"]))
+        opens, wraps = not last or last["type"] != kind or kind == "list", False
+        if kind == "heading" and last and last["type"] == "heading":
+            decorated = bool(DECOR.search(last["text"]) or DECOR.search(text))
+            wraps = not decorated and not ENDS.search(last["text"].strip()) and gap <= 2.2 * tall and bool(LOWER.match(text.strip()))
+            opens = opens or not wraps and (gap > 1.32 * tall or bool(ENDS.search(last["text"])) or decorated)
+        opens = opens or gap > (2.2 if kind == "formula" else 1.7) * tall or kind == "paragraph" and bool(ENDS.search(last["text"][-2:])) or _entry(text) or _entry(last["text"])
         if opens and not wraps:
-            blocks.append({"type": r.type, "text": r.text, "x": r.x, "y": r.y, "end": r.x + r.width, "height": r.height, "rows": [list(r.cells)] if r.type == "table" else None})
+            blocks.append({"type": kind, "text": text, "x": x, "y": y, "end": x + width, "height": height, "rows": [cells] if kind == "table" else None})
         else:
-            last["text"] += ("\n" if r.type == "formula" else " ") + r.text
-            last["x"], last["end"], last["height"] = min(last["x"], r.x), max(last["end"], r.x + r.width), max(last["height"], r.height)
+            last["text"] += ("\n" if kind == "formula" else " ") + text
+            last["x"], last["end"], last["height"] = min(last["x"], x), max(last["end"], x + width), max(last["height"], height)
             if last["rows"] is not None:
-                last["rows"].append(list(r.cells))
-        before = r
-    first = page.iloc[0]
-    rows = [(first["doc_id"], first["page_number"], i, b["type"], b["text"], b["x"], b["y"], b["end"] - b["x"], b["height"], b["rows"]) for i, b in enumerate(blocks)]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCKS.split(", ")])
+                last["rows"].append(cells)
+        self.y, self.height = y, height
+
+
+def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines in order, those of a page together from line_index 0 on, to blocks."""
+    place, page, out = None, Fold(), []
+
+    def done() -> None:
+        out.extend((*place, i, b["type"], b["text"], b["x"], b["y"], b["end"] - b["x"], b["height"], b["rows"]) for i, b in enumerate(page.blocks))
+
+    def put() -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(map(list, zip(*out, strict=True)), BLOCK_TYPES.types, strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, schema=BLOCK_TYPES)
+
+    for batch in batches:
+        named = dict(zip(batch.schema.names, batch.columns, strict=True))
+        cells = named.pop("cells")
+        columns = (named[c].to_pylist() for c in ("doc_id", "page_number", "line_index", "type", "text", "x", "y", "width", "height"))
+        for i, (doc, number, index, kind, text, x, y, width, height) in enumerate(zip(*columns, strict=True)):
+            if index == 0:
+                done()
+                place, page = (doc, number), Fold()
+            if text:
+                page.add(kind, text, x, y, width, height, cells[i].as_py() if kind == "table" else None)
+        if out:
+            yield put()
+    if place:
+        done()
+    if out:
+        yield put()
+
+
+#: Signs, figures and letters of formulas. Of a line without any, spreads alone score too little for a formula.
+SIGNS = "[" + "".join(sorted({f"\\x{{{ord(c):X}}}" for c in "".join(COUNTED.values()) + "∆µϵϱϕ²³¹⁰⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉·⋅•"})) + "]"
 
 
 def typed_lines(found: DataFrame) -> DataFrame:
@@ -297,8 +339,9 @@ def typed_lines(found: DataFrame) -> DataFrame:
     from .blocks import block_type, table_like
 
     metrics = {"baseline_spread": F.col("baseline_spread"), "line_height": F.col("height"), "font_spread": F.col("font_spread")}
-    text = F.array_join("cells", ". ")
-    out = measured(found, text, n_units(normalise_notation(text)), metrics)
+    asked = found.withColumn("asked", F.when(F.col("text").rlike(SIGNS), F.array_join("cells", ". ")).otherwise(""))
+    asked = asked.withColumn("units", n_units(normalise_notation(F.col("asked"))))
+    out = measured(asked, F.col("asked"), F.col("units"), metrics)
     large = F.col("height") >= F.col("median_font") * 1.2
     is_table = ~F.col("is_formula") & ~(large & (F.length("text") <= 90)) & table_like(F.col("cells"), F.col("n_items"))
     kind = block_type(F.col("text"), F.col("is_formula"), is_table, large)
@@ -307,8 +350,8 @@ def typed_lines(found: DataFrame) -> DataFrame:
 
 
 def blocks(items: DataFrame, together: bool = False) -> DataFrame:
-    """Items to typed blocks: cluster, classify in built-in expressions, fold. Both groups are single pages."""
-    return typed_lines(lines(items, together)).groupBy("doc_id", "page_number").applyInPandas(fold, BLOCKS)
+    """Items to typed blocks: cluster, classify in built-in expressions, fold. Lines stay in the order that lines() gives them."""
+    return typed_lines(lines(items, together)).select("doc_id", "page_number", "line_index", "type", "text", "x", "y", "width", "height", "cells").mapInArrow(fold, BLOCKS)
 
 
 def ocr_text(text):

@@ -72,3 +72,16 @@ def test_layout_of_documents_shuffles_no_items_and_keeps_repeated_ids_apart(spar
     lines = entry.queries()["layout_lines"](spark, str(tmp_path))
     got = sorted((r.doc_id or "", r.page_number, r.line_index, r.n_items) for r in lines.collect())
     assert got == sorted([("1", 1, 0, 3), ("1", 1, 1, 2), ("1", 1, 0, 1), ("1", 1, 1, 2), ("", 1, 0, 2), ("", 1, 0, 1), ("2", 1, 0, 10_003), ("2", 1, 1, 2)])
+
+
+def test_layout_blocks_fold_in_the_order_of_lines(spark):
+    """Lines without signs are not measured; a page's blocks are those of its lines, across batches of any size."""
+    rows = [(f"d{p}", 1, 10 * j + i, w, 7.0 * len(" ".join(t.split()[:i] + [""])), 700.0 - 16 * j, 12.0, 7.0 * len(w), 800.0) for p in range(60) for j, t in enumerate(("un mot seul", "et la suite.", "x = 3 y + 2", "- un point", f"fin {p}")) for i, w in enumerate(t.split())]
+    found = L.blocks(spark.createDataFrame(rows, ITEM).repartition(7))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.doc_id, {})[r.block_index] = (r.type, r.text)
+    for p in range(60):
+        assert got[f"d{p}"] == {0: ("paragraph", "un mot seul et la suite."), 1: ("formula", "x = 3 y + 2"), 2: ("list", "- un point"), 3: ("paragraph", f"fin {p}")}
