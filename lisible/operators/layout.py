@@ -368,20 +368,49 @@ def ocr_type(text):
     return F.when(text.rlike(js(LIST)), "list").when(upper | simple, "heading").otherwise("paragraph")
 
 
-def ocr_blocks(paragraphs: DataFrame, tolerance: float = 14.0) -> DataFrame:
-    """OCR paragraphs to blocks in reading order; boxes are rounded, held to the page and 24 units at least."""
-    own = paragraphs.withColumn("text", ocr_text(F.col("text"))).where("text <> ''")
+OCR = "doc_id string, page_number int, block_index int, type string, text string, x double, y double, width double, height double, confidence double"
+
+
+def _read(rows: pa.Table, page: np.ndarray, tolerance: float) -> pa.Table:
+    """Paragraphs of whole pages in reading order, numbered: from above, and from the left where y is within tolerance."""
+    some = pc.not_equal(rows["text"], "").fill_null(False)
+    page = np.unique(page[some.to_numpy()], return_inverse=True)[1]
+    rows = rows.filter(some)
+    if not rows.num_rows:
+        return rows.append_column("block_index", pa.array([], pa.int32()))
+    x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+    order, new, plain = _bands(y, page, np.full(len(y), tolerance))
+    order = _by_place(order, np.cumsum(new), x)
+    first = np.searchsorted(page, np.arange(page[-1] + 2))
+    for at in np.flatnonzero(~plain).tolist():
+        own = slice(first[at], first[at + 1])
+        places = list(zip(y[own].tolist(), x[own].tolist(), range(own.start, own.stop), strict=True))
+        places.sort(key=cmp_to_key(lambda a, b: a[0] - b[0] if abs(a[0] - b[0]) > tolerance else a[1] - b[1]))
+        order[own] = [p[2] for p in places]
+    return rows.take(pa.array(order)).append_column("block_index", pa.array(np.arange(len(page)) - first[page], pa.int32()))
+
+
+def ocr_blocks(paragraphs: DataFrame, tolerance: float = 14.0, together: bool = False) -> DataFrame:
+    """OCR paragraphs to blocks in reading order; boxes are rounded, held to the page and 24 units at least.
+
+    together: the paragraphs of a page already follow each other in a partition with rising (block_seq, par_seq), and
+    nothing is shuffled; a repeated or falling place begins another page.
+    """
     whole = lambda c: F.floor(c + 0.5)
     x = F.greatest(F.lit(0), whole(F.least("x0", "x1")))
     y = F.greatest(F.lit(0), whole(F.least("y0", "y1")))
-    boxed = own.withColumns({"x": x, "y": y, "width": F.greatest(F.lit(24), whole(F.abs(F.col("x1") - F.col("x0")))), "height": F.greatest(F.lit(24), whole(F.abs(F.col("y1") - F.col("y0")))), "type": ocr_type(F.col("text"))})
-
-    def order(page: pd.DataFrame) -> pd.DataFrame:
-        rows = page.sort_values(["block_seq", "par_seq"]).to_dict("records")
-        rows.sort(key=cmp_to_key(lambda a, b: a["y"] - b["y"] if abs(a["y"] - b["y"]) > tolerance else a["x"] - b["x"]))
-        return pd.DataFrame([{**r, "block_index": i} for i, r in enumerate(rows)])[["doc_id", "page_number", "block_index", "type", "text", "x", "y", "width", "height", "confidence"]]
-
-    return boxed.groupBy("doc_id", "page_number").applyInPandas(order, "doc_id string, page_number int, block_index int, type string, text string, x double, y double, width double, height double, confidence double")
+    own = paragraphs.withColumn("text", ocr_text(F.col("text")))
+    own = own.withColumns({"x": x, "y": y, "width": F.greatest(F.lit(24), whole(F.abs(F.col("x1") - F.col("x0")))), "height": F.greatest(F.lit(24), whole(F.abs(F.col("y1") - F.col("y0")))), "type": ocr_type(F.col("text"))})
+    own = own.select("doc_id", "page_number", "block_seq", "par_seq", "type", "text", "x", "y", "width", "height", "confidence")
+    names = [c.split()[0] for c in OCR.split(", ")]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), *[pa.float64()] * 5]
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, page in whole_pages(batches, ["block_seq", "par_seq"] if together else []):
+            for batch in _read(rows, page, tolerance).select(names).cast(pa.schema(dict(zip(names, types, strict=True)))).to_batches(max_chunksize=10_000):
+                yield batch
+
+    return (own if together else in_pages(own, "block_seq", "par_seq")).mapInArrow(order, OCR)
 
 
 def ocr_document(pages: DataFrame) -> DataFrame:

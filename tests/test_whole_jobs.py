@@ -85,3 +85,16 @@ def test_layout_blocks_fold_in_the_order_of_lines(spark):
         got.setdefault(r.doc_id, {})[r.block_index] = (r.type, r.text)
     for p in range(60):
         assert got[f"d{p}"] == {0: ("paragraph", "un mot seul et la suite."), 1: ("formula", "x = 3 y + 2"), 2: ("list", "- un point"), 3: ("paragraph", f"fin {p}")}
+
+
+def test_reading_order_takes_pages_many_at_a_time(spark):
+    rnd = random.Random(5)
+    pages = [[(f"d{p % 7}", p, i, 0, rnd.choice([f"t{i}", " ", f"t{i}"]), x := float(rnd.randint(0, 9) * 20), y := float(rnd.choice([0, 9, 18, 40, 80])), x + 5, y + 5, 80.0, 600, 800) for i in range(rnd.randint(1, 8))] for p in range(150)]
+    near = cmp_to_key(lambda a, b: a[6] - b[6] if abs(a[6] - b[6]) > 14 else a[5] - b[5])
+    want = {(p[0][1], i): r[4] for p in pages for i, r in enumerate(sorted((r for r in p if r[4] != " "), key=near))}
+    schema = "doc_id string, page_number int, block_seq int, par_seq int, text string, x0 double, y0 double, x1 double, y1 double, confidence double, page_width int, page_height int"
+    rows = spark.createDataFrame([r for p in pages for r in p], schema)
+    for found in (L.ocr_blocks(rows.repartition(3)), L.ocr_blocks(rows.coalesce(1), together=True)):
+        got = found.collect()
+        assert {(r.page_number, r.block_index): r.text for r in got} == want and len(got) == len(want)
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
