@@ -235,6 +235,14 @@ def shingle_set(data: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)]), ">u8").astype(np.uint64))
 
 
+def set_fingerprint(own: np.ndarray) -> int:
+    """SimHash of a shingle set, as a signed number: a bit is 1 if set in over half the hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(own), PART):
+        counts += np.unpackbits(own[at : at + PART].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(own)).view(np.int64)[0])
+
+
 def prefix(own: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The first shingles of a set, rare before common, then by hash: sets of similarity 0.8 or more share one of them.
 
@@ -301,7 +309,7 @@ def _common_shingles(df: DataFrame, id_col: str, text_col: str) -> np.ndarray:
 
 
 def _described(df: DataFrame, id_col: str, text_col: str, common: np.ndarray) -> DataFrame:
-    """id, node (a name of the shingle set), n, first (its prefix), odd (its parities), p and q (its short ones)."""
+    """id, node (a name of the shingle set), n, first (its prefix), odd (its parities), p and q (its short ones), fp (its SimHash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,9 +317,10 @@ def _described(df: DataFrame, id_col: str, text_col: str, common: np.ndarray) ->
             columns = [pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([prefix(s, common).view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parities(s) for s in sets], pa.binary())]
             short = [short_parities(s) for s in sets]
             columns += [pa.array([x[i] for x in short], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "node", "n", "first", "odd", "p", "q"])
+            columns.append(pa.array([set_fingerprint(s) for s in sets], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "node", "n", "first", "odd", "p", "q", "fp"])
 
-    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, node long, n long, first array<long>, odd binary, p long, q long")
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, node long, n long, first array<long>, odd binary, p long, q long, fp long")
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -379,8 +388,24 @@ def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(v, own[i])), pa.array(np.minimum(v, own[i]))], ["u", "v"])
 
 
+def _indexed_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v): pairs of nodes that the byte-position index links, by fingerprints that differ in MAX_BITS bits at most.
+
+    A spanning forest of these links, as postings() and _links() leave it; of equal fingerprints each node with the first.
+    """
+    firsts = materialise(nodes.groupBy("fp").agg(F.min("node").alias("leader")), "similar-fps")
+    met = postings(firsts, MAX_BITS).repartition("key").sortWithinPartitions("key").mapInArrow(_links(MAX_BITS), "u long, v long").distinct()
+    side = lambda at, name: firsts.select(F.col("fp").alias(at), F.col("leader").alias(name))
+    across = met.join(side("u", "a"), "u").join(side("v", "b"), "v").select("a", "b")
+    equal = nodes.join(firsts, "fp").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    return across.union(equal).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (u, v) of nodes whose shingle sets have a similarity of 0.8 or more, computed from the texts."""
+    """The pairs (u, v) of nodes whose shingle sets have a similarity of 0.8 or more, computed from the texts.
+
+    Pairs of nodes of one root are linked already and are not compared again.
+    """
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -398,7 +423,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, id_col: str, te
             yield batch.select([0, 1]).filter(pa.array(list(map(similar, a, b)), pa.bool_()))
 
     side = lambda t, name, *columns: t.select(F.col("node").alias(name), *(F.col(c).alias(c + name) for c in columns))
-    joined = pairs.where("u <> v").distinct().join(side(nodes, "u", "n", "odd"), "u").join(side(nodes, "v", "n", "odd"), "v").select("u", "v", "nu", "oddu", "nv", "oddv")
+    joined = pairs.where("u <> v").distinct().join(side(nodes, "u", "n", "odd", "root"), "u").join(side(nodes, "v", "n", "odd", "root"), "v").where("rootu <> rootv").select("u", "v", "nu", "oddu", "nv", "oddv")
     left = materialise(joined.mapInArrow(possible, "u long, v long"), "similar-possible")
     asked = left.select(F.col("u").alias("node")).union(left.select("v")).distinct()
     ids = nodes.join(asked, "node", "left_semi").select(F.col("low").alias("asked_id")).distinct()
@@ -411,18 +436,24 @@ def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, id_col: str, te
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, root for texts that have a near copy: sets of five-word shingles with a similarity of 0.8 or more.
 
-    Every pair at 0.8 or more is in the list of a shingle that both sets' prefixes hold. Pairs of a list are dropped by
+    SimHash fingerprints of the sets meet in the byte-position index, which guarantees every pair within MAX_BITS bits five
+    shared positional bytes; its links are compared shingle by shingle. Many pairs at 0.8 differ in more bits than any
+    number of shared bytes covers, so an exact search follows for those that the index has not joined:
+    every pair at 0.8 or more is in the list of a shingle that both sets' prefixes hold. Pairs of a list are dropped by
     size and parities where these rule 0.8 out, and otherwise compared shingle by shingle; no other link counts. In a list of over SMALL_LIST
     members all meet PIVOTS of them, and then the plausible pairs that no link joins yet. Equal sets are one node. root is the
     smallest id.
     """
     common = _common_shingles(df, id_col, text_col)
     told = materialise(_described(df, id_col, text_col, common), "similar-told")
-    told_once = told.groupBy("node", "n").agg(F.min("id").alias("low"), F.first("first").alias("first"), F.first("odd").alias("odd"), F.first("p").alias("p"), F.first("q").alias("q"))
-    nodes = materialise(told_once, "similar-nodes")
+    told_once = told.groupBy("node", "n").agg(F.min("id").alias("low"), F.first("first").alias("first"), F.first("odd").alias("odd"), F.first("p").alias("p"), F.first("q").alias("q"), F.first("fp").alias("fp"))
+    nodes = materialise(told_once, "similar-nodes").withColumn("root", F.col("node"))
+    indexed = _verified(_indexed_pairs(nodes), nodes, df, id_col, text_col)
+    found = connected_components(indexed, "similar-indexed")
+    nodes = materialise(nodes.drop("root").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "similar-rooted")
     lists = nodes.select(F.explode("first").alias("key"), "node", "n", "p", "q").repartition("key").sortWithinPartitions("key", "node")
     met = materialise(lists.mapInArrow(_first_pairs, "key long, u long, v long, n long, p long, q long, large boolean"), "similar-met")
-    links = _verified(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), nodes, df, id_col, text_col)
+    links = indexed.union(_verified(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), nodes, df, id_col, text_col))
     large = met.where("large").select("key", F.col("u").alias("node"), "n", "p", "q")
     if not large.isEmpty():
         roots = connected_components(links, "similar-first")

@@ -197,3 +197,29 @@ def test_links_are_verified_on_the_texts(spark):
     assert min(apart) <= 3
     df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
     assert simhash.similar_groups(df).count() == 0
+
+
+def test_groups_come_through_the_byte_position_index(spark, monkeypatch):
+    """The index of fingerprints links first, verified on the texts; the exact search asks only for what it has not joined."""
+    rnd = random.Random(21)
+    words = ["w%d" % i for i in range(5000)]
+    base = [[rnd.choice(words) for _ in range(900)] for _ in range(12)]
+    texts = {2 * i: " ".join(b) for i, b in enumerate(base)} | {2 * i + 1: " ".join([*b, "end"]) for i, b in enumerate(base)}
+    prints = {i: simhash.set_fingerprint(simhash.shingle_set(t.encode())) for i, t in texts.items()}
+    near = [i for i in range(0, 24, 2) if ((prints[i] ^ prints[i + 1]) % (1 << 64)).bit_count() <= simhash.MAX_BITS]
+    assert len(near) >= 10
+    asked, real = [], simhash._verified
+
+    def verified(pairs, nodes, *rest):
+        out = real(pairs, nodes, *rest)
+        asked.append(({tuple(sorted(r)) for r in pairs.where("u <> v").distinct().collect()}, {tuple(sorted(r)) for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(simhash, "_verified", verified)
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    roots = {r.node: r.root for r in simhash.similar_groups(df).collect()}
+    assert roots == {i: i - i % 2 for i in texts}
+    names = {i: simhash._name(simhash.shingle_set(t.encode())) for i, t in texts.items()}
+    pair = lambda i: tuple(sorted((names[i], names[i + 1])))
+    assert {pair(i) for i in near} <= asked[0][0] and {pair(i) for i in near} <= asked[0][1]
+    assert not {pair(i) for i in near} & asked[1][1]
