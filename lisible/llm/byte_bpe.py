@@ -8,6 +8,7 @@ are skipped when they come up. A pre-token of n bytes takes O(n log n), so very
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -19,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import with_fields
+from .common import KEPT, handing_back, slices, with_fields
 
 
 #: Distinct pre-tokens that a worker remembers; beyond it the memory is emptied, results are the same.
@@ -204,6 +205,15 @@ def _codec(data: bytes, pattern: str) -> ByteBPE:
     return ByteBPE(read_ranks(data), pattern)
 
 
+def _forget() -> None:
+    if _codec.cache_info().currsize:
+        _codec.cache_clear()
+        gc.collect()  # a codec and its memory of pre-tokens refer to each other
+
+
+KEPT["byte_bpe"] = _forget
+
+
 def _strings(column: pa.Array) -> list[str]:
     """Null becomes empty; bytes that are no UTF-8 become U+FFFD."""
     return [(x or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
@@ -260,12 +270,12 @@ def encode_digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [codec.digest(t) for t in _strings(batch.column(1))]
             n, a, b = ([r[i] for r in rows] for i in range(3))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [batch.schema.names[0], "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(handing_back(run, "byte_bpe"), schema)
 
 
 __all__ = ["ByteBPE", "RankQueue", "decode", "encode", "encode_digests", "read_ranks"]

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: White space and words of the text contracts: only these six ASCII characters separate words.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: Rows of texts that a worker has as Python objects at a time.
+SLICE = 500
+#: What operators keep in a worker from task to task, by name: a function that empties it.
+KEPT: dict[str, Callable[[], None]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +49,41 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, SLICE at a time: whole batches of texts, as Python objects, are several times their own size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def hand_back(name: str = "") -> None:
+    """Gives the memory that this worker does not need back to the system: what operators but the named one keep in it,
+    and what is free but held by allocators.
+
+    Workers live on from task to task and stage to stage, so both would count until the last stage has ended.
+    """
+    for other, empty in KEPT.items():
+        if other != name:
+            empty()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other C libraries need not
+    if trim:
+        trim(0)
+
+
+def handing_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], name: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that calls hand_back() as its task begins and ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hand_back(name)
+        try:
+            yield from run(batches)
+        finally:
+            hand_back(name)
+
+    return whole
+
+
 def _file_system(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())

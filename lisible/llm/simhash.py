@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bloom import mix
-from .common import connected_components, materialise, with_fields
+from .common import connected_components, handing_back, materialise, slices, with_fields
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
 #: Lists up to this size compare all pairs; larger ones look up neighbours.
@@ -299,12 +299,12 @@ def _common_shingles(df: DataFrame, id_col: str, text_col: str) -> np.ndarray:
     """Shingles that many texts of a sample hold, COMMON_MOST at most. They only order the sets; no result depends on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for x in batch.column(0).cast(pa.binary()).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x or b"").view(np.int64))], ["h"])
 
     sample = df.where(F.pmod(F.xxhash64(id_col), F.lit(COMMON_ONE_IN)) == 0).select(text_col)
-    top = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON_LEAST).orderBy(F.desc("count"), "h").limit(COMMON_MOST)
+    top = sample.mapInArrow(handing_back(run), "h long").groupBy("h").count().where(F.col("count") >= COMMON_LEAST).orderBy(F.desc("count"), "h").limit(COMMON_MOST)
     return np.sort(np.array([r.h for r in top.select("h").collect()], np.int64).view(np.uint64))
 
 
@@ -312,7 +312,7 @@ def _described(df: DataFrame, id_col: str, text_col: str, common: np.ndarray) ->
     """id, node (a name of the shingle set), n, first (its prefix), odd (its parities), p and q (its short ones), fp (its SimHash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()]
             columns = [pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([prefix(s, common).view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parities(s) for s in sets], pa.binary())]
             short = [short_parities(s) for s in sets]
@@ -320,7 +320,7 @@ def _described(df: DataFrame, id_col: str, text_col: str, common: np.ndarray) ->
             columns.append(pa.array([set_fingerprint(s) for s in sets], pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "node", "n", "first", "odd", "p", "q", "fp"])
 
-    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "id long, node long, n long, first array<long>, odd binary, p long, q long, fp long")
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(handing_back(run), "id long, node long, n long, first array<long>, odd binary, p long, q long, fp long")
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -408,29 +408,29 @@ def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, id_col: str, te
     """
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             _, _, n, a, m, b = (c.to_pylist() for c in batch.columns)
             yield batch.select([0, 1]).filter(pa.array(list(map(may_be_similar, n, a, m, b)), pa.bool_()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingle_set(x or b"") for x in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "shingles"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
             yield batch.select([0, 1]).filter(pa.array(list(map(similar, a, b)), pa.bool_()))
 
     side = lambda t, name, *columns: t.select(F.col("node").alias(name), *(F.col(c).alias(c + name) for c in columns))
     joined = pairs.where("u <> v").distinct().join(side(nodes, "u", "n", "odd", "root"), "u").join(side(nodes, "v", "n", "odd", "root"), "v").where("rootu <> rootv").select("u", "v", "nu", "oddu", "nv", "oddv")
-    left = materialise(joined.mapInArrow(possible, "u long, v long"), "similar-possible")
+    left = materialise(joined.mapInArrow(handing_back(possible), "u long, v long"), "similar-possible")
     asked = left.select(F.col("u").alias("node")).union(left.select("v")).distinct()
     ids = nodes.join(asked, "node", "left_semi").select(F.col("low").alias("asked_id")).distinct()
     rows = df.select(F.col(id_col).cast("long").alias("asked_id"), F.col(text_col).alias("asked_text")).join(ids, "asked_id", "left_semi")
-    texts = materialise(rows.select("asked_text").mapInArrow(sets, "node long, shingles binary").join(asked, "node", "left_semi").dropDuplicates(["node"]), "similar-sets")
+    texts = materialise(rows.select("asked_text").mapInArrow(handing_back(sets), "node long, shingles binary").join(asked, "node", "left_semi").dropDuplicates(["node"]), "similar-sets")
     both = left.join(side(texts, "u", "shingles"), "u").join(side(texts, "v", "shingles"), "v").select("u", "v", "shinglesu", "shinglesv")
-    return materialise(both.mapInArrow(compared, "u long, v long"), "similar-links")
+    return materialise(both.mapInArrow(handing_back(compared), "u long, v long"), "similar-links")
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -452,13 +452,13 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = connected_components(indexed, "similar-indexed")
     nodes = materialise(nodes.drop("root").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "similar-rooted")
     lists = nodes.select(F.explode("first").alias("key"), "node", "n", "p", "q").repartition("key").sortWithinPartitions("key", "node")
-    met = materialise(lists.mapInArrow(_first_pairs, "key long, u long, v long, n long, p long, q long, large boolean"), "similar-met")
+    met = materialise(lists.mapInArrow(handing_back(_first_pairs), "key long, u long, v long, n long, p long, q long, large boolean"), "similar-met")
     links = indexed.union(_verified(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), nodes, df, id_col, text_col))
     large = met.where("large").select("key", F.col("u").alias("node"), "n", "p", "q")
     if not large.isEmpty():
         roots = connected_components(links, "similar-first")
         rest = large.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"), "p", "q").repartition("key").sortWithinPartitions("key", "node")
-        links = links.union(_verified(rest.mapInArrow(_other_pairs, "u long, v long"), nodes, df, id_col, text_col))
+        links = links.union(_verified(rest.mapInArrow(handing_back(_other_pairs), "u long, v long"), nodes, df, id_col, text_col))
     roots = connected_components(links, "similar-nodes")
     rooted = nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     smallest = materialise(rooted.groupBy("root").agg(F.min("low").alias("v")), "similar-smallest")

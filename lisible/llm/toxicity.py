@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, fit_isotonic, fit_trees, out_of_fold, sigmoid
-from .common import materialise
+from .common import SLICE, hand_back, handing_back, materialise, slices
 
 #: Labelled rows that are learnt from at most (the bound of the sample), lexicon entries at most, folds for calibration.
 SAMPLE_ROWS, LEXICON_SIZE, FOLDS = 16_000, 3_000, 4
@@ -132,7 +132,7 @@ def _learn_lexicon(sample: DataFrame, positive: int, negative: int) -> dict[str,
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = {0: Counter(), 1: Counter()}
-        for batch in batches:
+        for batch in slices(batches):
             for text, y in zip(_text(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 of[y].update(units_of(set(words_of(text))))
         # an entry no positive text has cannot count; its negative texts in other tasks are added by the next step
@@ -143,7 +143,7 @@ def _learn_lexicon(sample: DataFrame, positive: int, negative: int) -> dict[str,
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([y] * len(part), pa.int32()), pa.array([of[y][k] for k in part], pa.int64())], ["unit", "y", "n"])
 
     rate = positive / (positive + negative)
-    counts = sample.select("text", "y").mapInArrow(tally, "unit string, y int, n long").groupBy("unit").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum("n").alias("n"))
+    counts = sample.select("text", "y").mapInArrow(handing_back(tally), "unit string, y int, n long").groupBy("unit").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum("n").alias("n"))
     share = F.col("p") / F.col("n")
     evidence = F.col("p") * F.log(share / F.lit(rate)) + F.when(F.col("n") > F.col("p"), (F.col("n") - F.col("p")) * F.log((1 - share) / F.lit(1 - rate))).otherwise(0.0)
     odds = F.log((F.col("p") + 0.5) / (F.col("n") - F.col("p") + 0.5) * F.lit((negative + 1) / (positive + 1)))
@@ -171,12 +171,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lexicon = _learn_lexicon(sample.where("half = 0"), counts[0, 1], counts[0, 0])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = matrix(_text(batch.column(0)), lexicon)
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["y", "of_id", "x"])
 
     kind = sample.schema["of_id"].dataType.simpleString()
-    rows = sample.where("half = 1").select("text", "y", "of_id").mapInArrow(measure, f"y int, of_id {kind}, x array<double>").orderBy("of_id", "x").collect()  # half the bound, some twenty numbers each
+    rows = sample.where("half = 1").select("text", "y", "of_id").mapInArrow(handing_back(measure), f"y int, of_id {kind}, x array<double>").orderBy("of_id", "x").collect()  # half the bound, some twenty numbers each
     x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows], float)
     margins = out_of_fold(x, y, min(FOLDS, len(y)))
     return Model(lexicon, fit_trees(x, y), fit_isotonic(sigmoid(margins), y), base)
@@ -190,13 +190,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)  # LEXICON_SIZE entries and some trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(_text(part.column(1))), pa.float64())], [batch.schema.names[0], score_col])
+        for part in slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(_text(part.column(1))), pa.float64())], [part.schema.names[0], score_col])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, `{score_col}` double")
+    return docs.select(id_col, text_col).mapInArrow(handing_back(run), f"`{id_col}` {kind}, `{score_col}` double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,6 +209,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     @F.arrow_udf("double")
     def toxic(texts: pa.Array) -> pa.Array:
-        return pa.array(model.value.score(_text(texts)), pa.float64())
+        found = [model.value.score(_text(texts.slice(at, SLICE))) for at in range(0, len(texts), SLICE)]
+        hand_back()
+        return pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())
 
     return docs.where(toxic(F.col(text_col)) < 0.5)
